@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, chat
+from . import audio, bpe, chat, lines
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,25 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _spans(df: DataFrame) -> DataFrame:
+    """One row for each document: what a line operator removed, as counts, original offsets and a digest."""
+    return df.select(
+        "doc_id",
+        F.col("n_units").cast("long").alias("n_units"),
+        F.col("n_removed").cast("long").alias("n_removed"),
+        F.array_join(F.transform("removed_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"))), ",").alias("removed_spans"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(lines.substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(lines.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = audio.encode_media(docs).select("doc_id", "n_bytes", "media")
@@ -64,12 +83,45 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_telephony_audio": op4_telephony_audio,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op8_chat_formatting": op8_chat_formatting,
 }
 
+_UNITS = """
+u AS (
+  SELECT doc_id, i - 1 AS unit, parts[i] AS line, CAST(coalesce(sum(length(parts[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+)"""
+_KEPT = """
+SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
+  coalesce(string_agg(pos || ':' || length(line), ',' ORDER BY unit) FILTER (gone), '') AS removed_spans,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id"""
+
 SQL: dict[str, str] = {
+    "op2_substring_dedup": f"""
+WITH {_UNITS}, n AS (
+  SELECT *, trim(regexp_replace(lower(line), '[ \\t\\n\\v\\f\\r]+', ' ', 'g'), ' ') AS norm FROM u
+), m AS (
+  SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 >= 5 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit) > 1 AS gone FROM n
+){_KEPT}""",
+    "op3_line_dedup": f"""
+WITH {_UNITS}, w AS (
+  SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM u
+), p AS (
+  SELECT b.doc_id, b.unit, b.words, a.doc_id AS other, a.unit - b.unit AS shift
+  FROM w a JOIN w b ON a.line = b.line AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.unit < b.unit)
+), r AS (
+  SELECT *, unit - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY unit) AS island FROM p
+), s AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id, other, shift, island) AS total FROM r
+), g AS (SELECT DISTINCT doc_id, unit FROM s WHERE total >= 20
+), m AS (
+  SELECT u.*, g.unit IS NOT NULL AS gone FROM u LEFT JOIN g USING (doc_id, unit)
+){_KEPT}""",
     "op8_chat_formatting": """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
