@@ -84,10 +84,11 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int =
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes (A-Z only), word starts, word ends and, for each text, the index of its first word (n + 1)."""
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes (A-Z only), word starts, word ends and, for each text, the index of its first word (n + 1).
+    apart: which bytes stand between words."""
     low = _LOWER[data]
-    inside = ~_SEP[data]
+    inside = ~apart[data]
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, chat, lines
+from . import audio, bpe, chat, lines, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,12 +82,25 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    """Fitted to the labels outside fold 0, the held-out one."""
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(toxicity.fold("doc_id") != 0)
+    return toxicity.fit(docs, labels)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir, docs))
+    return scored.select("doc_id", (toxicity.fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_telephony_audio": op4_telephony_audio,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op8_chat_formatting": op8_chat_formatting,
+    "op10_toxicity": op10_toxicity,
 }
 
 _UNITS = """
