@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, chat, decontaminate, lines, neardup, toxicity
+from . import audio, bpe, chat, decontaminate, lines, mixing, neardup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_telephony_audio": op4_telephony_audio,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_toxicity": op10_toxicity,
