@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -23,3 +25,19 @@ def written(df: DataFrame) -> DataFrame:
     path = folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished steps now: it learns of them by garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def numbered(df: DataFrame, row: str = "__row") -> DataFrame:
+    """df with a number for each row that is the same each time df is computed. Only a plain scan gives its
+    rows in the same order always, so anything else is written first."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    names = {plan.nodeName(), *(line.strip(" :+-").split(" ")[0] for line in plan.toString().splitlines())}
+    if not names <= {"Relation", "Project", "Filter", "LogicalRelation", ""}:
+        df = written(df)
+    return df.withColumn(row, F.monotonically_increasing_id())
