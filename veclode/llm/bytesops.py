@@ -20,7 +20,7 @@ _SEP[[32, *range(9, 14)]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text (a longer single text has its own batch)."""
     for batch in batches:
         if not batch.num_rows:
