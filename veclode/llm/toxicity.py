@@ -47,6 +47,8 @@ for _a, _b in LEET.items():
     _LEET[ord(_a)] = ord(_b)
 _IS_LEET = np.zeros(256, bool)
 _IS_LEET[[ord(c) for c in LEET]] = True
+_EDGE = _LETTER | _IS_LEET  # what a disguised word may start and end with
+_EDGE[[ord("!"), ord("*")]] = False
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -125,7 +127,7 @@ def features(data: np.ndarray, at: np.ndarray, words: np.ndarray, weights: np.nd
     doc2 = np.repeat(np.arange(n), np.diff(f2))
     letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
     some = letters[e2] - letters[s2]
-    inside = (some > 0) & (some < e2 - s2) & _LETTER[data[s2]] & _LETTER[data[np.maximum(e2 - 1, 0)]] if len(s2) else np.zeros(0, bool)
+    inside = (some > 0) & (some < e2 - s2) & _EDGE[data[s2]] & _EDGE[data[np.maximum(e2 - 1, 0)]] if len(s2) else np.zeros(0, bool)
     masked = look(B.span_hash(B.prefix(_LEET[low]), s2[inside], e2[inside])) > 0
     total = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[at])
     upper = (data >= 65) & (data <= 90)
