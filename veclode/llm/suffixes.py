@@ -178,7 +178,7 @@ def _bucket(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     )
 
 
-def repeated_bytes(df: DataFrame, text: str = "text", length: int = 200, bucket_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
+def repeated_bytes(df: DataFrame, text: str = "text", length: int = 200, bucket_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
     """(rows, runs): df's texts as row, text binary; and row, start, end of runs of repeated bytes (they may overlap)."""
     if not 100 <= length <= 300:
         raise ValueError("length must be from 100 to 300 bytes")
