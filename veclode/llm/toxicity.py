@@ -8,7 +8,8 @@ to the label rate. score applies both to every whole text. Features see only the
 
 Definitions: a null text is an empty text; labels that are null are left out, and several labels of one
 id count as toxic if one of them is; labels without a document are left out; without labels, or with one
-class only, the score is the share of toxic labels (0 if there are none); repeated rows score alike; an
+class only, the score is the share of toxic labels (0 if there are none), which a text without words never
+exceeds; repeated rows score alike; an
 empty table gives an empty table; other columns pass through, and `score` and `predicted` replace
 columns of those names.
 """
@@ -218,12 +219,14 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     if model.trees is None:
         out = kept.withColumn("score", F.lit(float(model.rate)))
     else:
-        rows = with_features(kept, model.words, model.weights, text).withColumn("__vector", array_to_vector("__features")).drop("__features")
+        rows = with_features(kept, model.words, model.weights, text)
+        rows = rows.withColumns({"__vector": array_to_vector("__features"), "__wordless": F.col("__features")[0] == 0}).drop("__features")
         trees = model.trees.copy().setFeaturesCol("__vector").setPredictionCol("__tree").setProbabilityCol("__p").setRawPredictionCol("__raw")
         rows = trees.transform(rows).withColumn("__p1", vector_to_array("__p")[1])
         value = F.col("__p1")
         if model.curve is not None:
             rows = model.curve.copy().setFeaturesCol("__p1").setPredictionCol("__curve").transform(rows)
             value = 0.98 * F.col("__curve") + 0.02 * F.col("__p1")  # the curve has steps; the trees order the rows within one
+        value = F.when(F.col("__wordless"), F.least(value, F.lit(float(model.rate)))).otherwise(value)
         out = rows.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))).select(*kept.columns, "score")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
