@@ -61,6 +61,21 @@ def _scores(v: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return np.where((vv == 0) & (qq == 0), 0.0, np.where(norms == 0, 1.0, 1 - dots / np.where(norms == 0, 1, norms)))
 
 
+def _matrix(lists: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which lists have dim numbers and no null, and those as a matrix."""
+    length = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    values = flat.fill_null(0).to_numpy(zero_copy_only=False)
+    start = np.cumsum(np.maximum(length, 0)) - np.maximum(length, 0)
+    good = length == dim
+    if flat.null_count:
+        nulls = np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))])
+        good &= nulls[start + np.maximum(length, 0)] == nulls[start]
+    if good.all():
+        return good, values.reshape(-1, dim)
+    return good, values[start[good][:, None] + np.arange(dim)] if good.any() else np.zeros((0, dim))
+
+
 def knn_arrow(base: DataFrame, queries: DataFrame, k: int, metric: str, by: list[str]) -> DataFrame:
     """As knn_expressions, by matrix products; vectors of another length than the queries' rank last, as nulls."""
     spark, out = base.sparkSession, None
@@ -68,16 +83,15 @@ def knn_arrow(base: DataFrame, queries: DataFrame, k: int, metric: str, by: list
     for block in _blocks(queries):
         table = block.toArrow()  # at most BLOCK_VALUES numbers
         ids = table.column("query_id").to_numpy()
-        sent = spark.sparkContext.broadcast((ids, np.array(table.column("q").to_pylist(), float).reshape(len(ids), -1)))
+        sent = spark.sparkContext.broadcast((ids, np.array(table.column("q").to_pylist(), float).reshape(len(ids), -1 if len(ids) else 0)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
-            for whole in batches:
+            for whole in batches if len(ids) else ():
                 for at in range(0, whole.num_rows, 2048):
                     batch = whole.slice(at, 2048)
                     lists = batch.column(batch.schema.get_field_index("v"))
-                    good = np.array([x is not None and len(x) == q.shape[1] and None not in x for x in lists.to_pylist()], bool)
-                    v = np.array([x for x, g in zip(lists.to_pylist(), good) if g], float).reshape(-1, q.shape[1])
+                    good, v = _matrix(lists, q.shape[1])
                     value = np.full((batch.num_rows, len(q)), np.nan)
                     value[good] = _scores(v, q, metric)
                     rank = np.where(np.isnan(value), np.inf, -value if metric == "ip" else value)
