@@ -130,7 +130,8 @@ def repeated_lines(df: DataFrame, id: str = "doc_id", text: str = "text", min_wo
     lines = key.mapInArrow(lambda it: _lines(it, min_words), f"__id {id_type}, __key long, line int, a long, b long, forward int, backward int")
     at = F.struct(F.col("__id").alias("id"), F.col("line").alias("line"))
     first = lines.groupBy("a", "b").agg(F.min(at).alias("class"), F.count("*").alias("n")).where("n > 1").drop("n")
-    level = written(lines.join(first, ["a", "b"]).drop("a", "b"))
+    # Written first, the counts are an input of their own and a hot line's rows can be split in the join.
+    level = written(lines.join(written(first), ["a", "b"]).drop("a", "b"))
     # Shortest runs: (start, length) in a document; of one line they are decided at level 0.
     runs = level.select("__id", "__key", F.explode(F.array(F.struct(F.col("line").alias("line"), F.col("forward").alias("m")), F.struct((F.col("line") - F.col("backward") + 1).alias("line"), F.col("backward").alias("m")))).alias("run"))
     runs = runs.where("run.m > 1").select("__id", "__key", "run.*").distinct()
