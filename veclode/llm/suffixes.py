@@ -10,8 +10,11 @@ of all bytes those strings cover. Then
    strings cover. Sampled splitters range-partition them by the leading tokens of the suffix that starts at
    the anchor. Each bucket cuts the suffixes that start at the anchors' strings to `length` bytes and sorts
    them by multikey quicksort over their tokens: eight raw bytes, then two 64-bit hashes of the whole
-   string. Neighbours that agree in all tokens repeat each other. The suffixes of a bucket's first and last
-   k-gram may have equals beyond the boundary; they are compared across all boundaries by their tokens.
+   string. Neighbours that agree in all tokens repeat each other.
+4. Anchors of a bucket's first and last k-gram may have equals beyond the boundary. How far such an anchor
+   agrees with a neighbour to the right is known from the order; a second pass of the same kind orders them by
+   what stands to the left. Only strings that reach no farther on either side can repeat; one of each
+   kind in a bucket is compared across all boundaries by its tokens.
 
 Strings are judged on the input; matches never cross texts. Only equality of the cut suffixes decides, so
 their order beyond the first eight bytes is that of the hashes.
@@ -23,6 +26,7 @@ columns pass through and columns named like an output are replaced.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,8 +127,9 @@ def _edge_bytes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
         first, to_anchor, to_last = place >> 16, place >> 8 & 255, place & 255
         body = [raw[d][a : a + n] for d, a, n in zip(doc.tolist(), first.tolist(), (to_last + length).tolist())]
         lead = [int.from_bytes(x[a : a + 8], "big", signed=True) for x, a in zip(body, to_anchor.tolist())]
+        side = [x[a + GRAM :] for x, a in zip(body, to_anchor.tolist())]
         row = batch.column(batch.schema.get_field_index("row")).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), gram, pa.array(row[doc]), pa.array(place), pa.array(body, pa.binary())], names=["lead", "gram", "row", "place", "body"])
+        yield pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), gram, pa.array(side, pa.binary()), pa.array(row[doc]), pa.array(place), pa.array(body, pa.binary())], names=["lead", "gram", "side", "row", "place", "body"])
 
 
 def _runs(row: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,18 +143,43 @@ def _runs(row: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray,
     return row[first], start[first], start[last] + length
 
 
-def _bucket(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Sorts one bucket's suffixes. Rows with end: covered runs. Rows without: tokens (t0, t1, t2) and starts of the
-    suffixes of the first and last k-gram, for the other side of the boundary."""
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+def _reach(gram: np.ndarray, lead: np.ndarray, side: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors of the bucket's first and last k-gram, and how many bytes of `side` each shares with another anchor
+    of its k-gram; all of them where that may stand in another bucket."""
+    order = sorted(range(len(side)), key=lambda i: (lead[i], gram[i], side[i]))
+    edge = {(gram[order[0]], side[order[0]]), (gram[order[-1]], side[order[-1]])}
+    at = [i for i in order if gram[i] in (gram[order[0]], gram[order[-1]])]
+    reach = np.zeros(len(at), np.int64)
+    for k, (i, j) in enumerate(zip(at, at[1:])):
+        if gram[i] == gram[j]:
+            shared = len(os.path.commonprefix([side[i], side[j]]))
+            reach[k], reach[k + 1] = max(reach[k], shared), max(reach[k + 1], shared)
+    for k, i in enumerate(at):
+        if (gram[i], side[i]) in edge:
+            reach[k] = len(side[i])
+    return np.array(at, np.int64), reach
+
+
+def _bucket(batches: Iterator[pa.RecordBatch], length: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """Sorts one bucket's suffixes. Rows with end: covered runs. Rows with body: the anchors whose strings are compared
+    beyond the bucket, with their reach to the right; in the last pass instead rows with tokens t0, t1, t2: one for each
+    kind of string that stays within its anchor's reach."""
+    batches = list(batches)
+    table = pa.Table.from_batches(batches) if batches else None
     if table is None or not table.num_rows:
         return
     data, at = B.utf8(table.column("body"))
-    gram, row, place = (table.column(c).to_numpy() for c in ("gram", "row", "place"))
-    lead = table.column("lead").to_numpy()
+    gram, row, place, lead = (table.column(c).to_numpy() for c in ("gram", "row", "place", "lead"))
+    edge, reach = _reach(gram, lead, table.column("side").to_pylist())
     n = np.diff(at) - length + 1
     own = np.repeat(np.arange(len(n)), n)
     begin = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    if last:  # only strings within the reach of their anchor, on both sides
+        left = np.full(len(n), length)
+        left[edge] = reach
+        to_anchor = (place[own] >> 8 & 255) - begin
+        on = np.flatnonzero((to_anchor <= left[own]) & (length - to_anchor - GRAM <= table.column("reach").to_numpy()[own]))
+        own, begin = own[on], begin[on]
     s = at[:-1][own] + begin
     wide = np.zeros(len(data) + 8, np.uint64)
     wide[: len(data)] = data
@@ -164,18 +194,19 @@ def _bucket(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     repeated[order[1:][same]] = True
     repeated[order[:-1][same]] = True
     start = (place[own] >> 16) + begin
-    low, high = np.lexsort((gram, lead))[[0, -1]]
-    boundary = np.flatnonzero(~repeated & np.isin(gram, gram[[low, high]])[own])
-    # Of equal suffixes at a boundary that are known to repeat here, one stands for all on the other side.
-    shown = np.flatnonzero(repeated & np.isin(gram, gram[[low, high]])[own])
-    _, one = np.unique(t1[shown], return_index=True)
-    boundary = np.concatenate([boundary, shown[one]])
     r, a, b = _runs(row[own[repeated]], start[repeated], length)
-    none = lambda k: pa.nulls(k, pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(a), pa.array(b), none(len(r)), none(len(r)), none(len(r))], names=["row", "start", "end", "t0", "t1", "t2"])
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(row[own[boundary]]), pa.array(start[boundary]), none(len(boundary)), *(pa.array(t[boundary].view(np.int64)) for t in (t0, t1, t2))], names=["row", "start", "end", "t0", "t1", "t2"]
-    )
+    schema = pa.schema([("row", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), *([(f"t{i}", pa.int64()) for i in range(3)] if last else [(c, table.schema.field(c).type) for c in ("lead", "gram", "side", "place", "body")] + [("reach", pa.int64())])])
+    none = lambda k, names: [pa.nulls(k, schema.field(c).type) for c in names]
+    yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(a), pa.array(b), *none(len(r), schema.names[3:])], schema=schema)
+    if last:
+        one = order[np.concatenate([[True], ~same])] if len(order) else order
+        one = one[np.isin(own[one], edge)]  # other k-grams are in this bucket only
+        yield pa.RecordBatch.from_arrays([pa.array(row[own[one]]), pa.array(start[one]), *none(len(one), ["end"]), *(pa.array(t[one].view(np.int64)) for t in (t0, t1, t2))], schema=schema)
+        return
+    # For the second pass: what stands left of the anchor, from there backwards.
+    body = table.column("body").take(pa.array(edge)).to_pylist()
+    side = [x[:k][::-1] for x, k in zip(body, (place[edge] >> 8 & 255).tolist())]
+    yield pa.RecordBatch.from_arrays([pa.array(row[edge]), *none(len(edge), ["start", "end"]), pa.array(lead[edge]), pa.array(gram[edge]), pa.array(side, pa.binary()), pa.array(place[edge]), pa.array(body, pa.binary()), pa.array(reach)], schema=schema)
 
 
 def repeated_bytes(df: DataFrame, text: str = "text", length: int = 200, bucket_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
@@ -199,17 +230,24 @@ def repeated_bytes(df: DataFrame, text: str = "text", length: int = 200, bucket_
     several = written(sets.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     edges = sets.join(several, "gram").select("one.row", F.struct("gram", "one.place").alias("edge"))
     edges = edges.groupBy("row").agg(F.collect_list("edge").alias("edges"))  # at most one for each anchor of the text
-    listed = rows.join(edges, "row").mapInArrow(lambda it: _edge_bytes(it, length), "lead long, gram long, row long, place long, body binary")
+    listed = rows.join(edges, "row").mapInArrow(lambda it: _edge_bytes(it, length), "lead long, gram long, side binary, row long, place long, body binary")
     listed = written(listed)
     release(spark)
-    total = listed.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    buckets = listed.repartitionByRange(max(1, -(-total // bucket_bytes)), "lead", "gram", "row", "place")
-    sorted_ = written(buckets.mapInArrow(lambda it: _bucket(it, length), "row long, start long, end long, t0 long, t1 long, t2 long"))
-    boundary = sorted_.where("end IS NULL")
-    tokens = ["t0", "t1", "t2"]
+    by = ["lead", "gram", "side", "row", "place"]
+
+    def dealt(df: DataFrame) -> DataFrame:
+        total = df.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+        return df.repartitionByRange(max(1, -(-total // bucket_bytes)), *by)
+
+    inner = written(dealt(listed).mapInArrow(lambda it: _bucket(it, length, False), "row long, start long, end long, lead long, gram long, side binary, place long, body binary, reach long"))
+    edge = inner.where("end IS NULL")
+    beyond = dealt(written(edge.drop("start", "end")))
+    outer = written(beyond.mapInArrow(lambda it: _bucket(it, length, True), "row long, start long, end long, t0 long, t1 long, t2 long"))
+    boundary, tokens = outer.where("end IS NULL"), ["t0", "t1", "t2"]
     again = boundary.groupBy(*tokens).agg(F.count("*").alias("n")).where("n > 1").select(*tokens)
     across = boundary.join(again, tokens).select("row", "start", (F.col("start") + length).alias("end"))
-    runs = copies.unionByName(sorted_.where("end IS NOT NULL").select("row", "start", "end")).unionByName(across)
+    covered = [x.where("end IS NOT NULL").select("row", "start", "end") for x in (inner, outer)]
+    runs = copies.unionByName(covered[0]).unionByName(covered[1]).unionByName(across)
     return rows, runs
 
 
