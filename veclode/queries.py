@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,8 +20,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A fresh path in the shared folder of the cluster; a temporary one where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    """A fresh path in the shared folder of the cluster; a temporary one where none is set and one process runs all."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        top = tempfile.mkdtemp()
     return f"{top}/datasets/{uuid.uuid4().hex}"
 
 
