@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -11,12 +12,16 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a temporary one."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, one process (as in tests) takes a temporary one."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-        top = jvm.get() if jvm.isDefined() else tempfile.mkdtemp()
-        spark.sparkContext.setCheckpointDir(top)
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not found.isDefined():
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+            found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        top = found.get()
     return f"{top}/tables/{uuid.uuid4().hex}"
 
 
