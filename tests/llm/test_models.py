@@ -111,6 +111,16 @@ def test_decontamination_rows(spark):
     assert sorted(str(sorted(map(str, r.matches))) for r in small.collect()) == sorted(str(sorted(map(str, r.matches))) for r in out.collect())
 
 
+def test_edited_copies_are_found_however_many(spark):
+    """Every fifth word replaced, in a thousand documents: fewer than half of the item's trigrams are left in each."""
+    item = [f"word{i}" for i in range(40)]
+    copies = [(d, " ".join(["before", *(f"other{d}" if i % 5 == 4 else w for i, w in enumerate(item)), "after"])) for d in range(1000)]
+    clean = [(1000 + d, f"here word0 word1 word2 and then text {d} of its own") for d in range(50)]
+    out = decontaminate.decontaminate(spark.createDataFrame(copies + clean, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    got = {r.doc_id: [(m.item_id, m.score, m.start) for m in r.matches] for r in out.collect()}
+    assert all(got[d] == [(1, 57 / 80, 1)] for d in range(1000)) and all(got[1000 + d] == [] for d in range(50))
+
+
 # Language-model scoring
 
 

@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The test items' word n-grams are seeds. One scan of the training texts counts in how many texts each seed
-occurs; a seed is rare if that is at most `common` times the median of its own item's seeds (or ten), so a
-phrase of everyday words is no seed, while an item that leaked a thousand times keeps all of its own. A
-second scan aligns an item with the text around each rare seed by Smith-Waterman over words (match 2,
-mismatch -1, gap -1) and reports alignments whose score is at least min_score of an exact copy's. No text
-is shuffled. Items are broadcast in blocks of at most `most_seeds` n-grams, one pair of scans for each
-block, so any number of items works in bounded memory.
+The test items' word n-grams are seeds. Each occurrence of a seed in a training text, however common the
+seed is, opens a window in which the item could stand around it; windows that overlap make a region. A
+region is dropped only if no alignment in it can reach min_score, as too few of its words are words of the
+item. With the others the item is aligned by Smith-Waterman over words (match 2, mismatch -1, gap -1), and
+alignments whose score is at least min_score of an exact copy's are reported. What is found in a text
+depends on no other text, so one pass is enough and no text is shuffled. Items are broadcast in blocks of
+at most `most_seeds` n-grams, one step of that pass for each block.
 
 Definitions: words are runs of ASCII letters, digits and bytes from 128, in lower case; punctuation and
 white space don't count. Null and empty texts match nothing, and so do items of fewer than n words;
@@ -77,7 +77,7 @@ class Items:
         self.hashes, self.at = hashes[order], here[order]
         self.seeds, self.begin = np.unique(self.hashes, return_index=True)
         self.begin = np.append(self.begin, len(self.hashes))
-        self.rare = np.ones(len(self.hashes), bool)
+        self.own = np.unique(self.pairs(self.word, np.repeat(np.arange(len(ids)), np.diff(self.first))))
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the hashes that are seeds, and of their seeds."""
@@ -87,50 +87,62 @@ class Items:
         hit = np.flatnonzero(self.seeds[seed] == hashes)
         return hit, seed[hit]
 
-    def mark_rare(self, counts: dict[int, int], common: float, floor: int = 10) -> None:
-        """counts: in how many texts each seed occurs."""
-        count = np.array([counts.get(i, 0) for i in range(len(self.seeds))], float)[np.searchsorted(self.seeds, self.hashes)]
-        item = np.searchsorted(self.first, self.at, "right") - 1
-        for i in np.unique(item):
-            own = item == i
-            self.rare[own] = count[own] <= max(floor, common * np.median(count[own]))
-
-
-def _count(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
-    for batch in B.pieces(batches, "text"):
-        word, first = word_hashes(*B.utf8(batch.column(0)))
-        here, hashes = ngrams(word, first, items.n)
-        hit, seed = items.find(hashes)
-        doc = np.searchsorted(first, here[hit], "right") - 1
-        pairs = np.unique(seed * len(first) + doc)
-        seeds, counts = np.unique(pairs // len(first), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.array(counts, pa.int64())], names=["seed", "n"])
-
-
-def _match(items: Items, word: np.ndarray, first: np.ndarray, min_score: float) -> dict[int, list[dict]]:
-    """By text: the alignments that reach min_score."""
-    here, hashes = ngrams(word, first, items.n)
-    hit, seed = items.find(hashes)
+    @staticmethod
+    def pairs(word: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Hashes of words together with an item's number."""
+        return B.mix(word * _MULTIPLY + item.astype(np.uint64))
+
+    def most(self, word: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A bound on the score of any alignment of item[i] with word[start[i]:end[i]] (none is empty): a word of
+        the item adds two at most, another word takes one away."""
+        size = end - start
+        at = np.cumsum(size) - size
+        window = np.repeat(np.arange(len(size)), size)
+        here = np.arange(len(window)) - np.repeat(at - start, size)
+        pair = self.pairs(word[here], item[window])
+        worth = np.where(self.own[np.minimum(np.searchsorted(self.own, pair), len(self.own) - 1)] == pair, 2, -1)
+        sums = np.cumsum(worth) - window * (4 * len(window))  # so far apart that each window starts anew
+        before = np.minimum.accumulate(sums - worth)
+        return np.maximum.reduceat(sums - before, at)
+
+
+def _shares(sizes: np.ndarray, most: int = 1 << 18) -> list[tuple[int, int]]:
+    """Cuts of a sequence into shares whose sizes add up to about most."""
+    share = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(sizes)]
+    return list(zip(cuts[:-1], cuts[1:])) if len(sizes) else []
+
+
+def _windows(items: Items, first: np.ndarray, here: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Text, item, start and end of the windows of seeds that stand at here, in order."""
     # Every occurrence of each seed in the items.
     times = items.begin[seed + 1] - items.begin[seed]
-    where = np.repeat(items.begin[seed], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    position = np.repeat(here[hit], times)
-    keep = items.rare[where]
-    where, position = items.at[where[keep]], position[keep]
+    where = items.at[np.repeat(items.begin[seed], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+    position = np.repeat(here, times)
     item = np.searchsorted(items.first, where, "right") - 1
     doc = np.searchsorted(first, position, "right") - 1
     length = (items.first[1:] - items.first[:-1])[item]
     slack = length // 2 + 4
     start = np.maximum(position - (where - items.first[item]) - slack, first[doc])
     end = np.minimum(position - (where - items.first[item]) + length + slack, first[doc + 1])
-    order = np.lexsort((start, item, doc))
+    return np.unique(np.stack([doc, item, start, end]), axis=1)
+
+
+def _match(items: Items, word: np.ndarray, first: np.ndarray, min_score: float) -> dict[int, list[dict]]:
+    """By text: the alignments that reach min_score."""
+    here, hashes = ngrams(word, first, items.n)
+    hit, seed = items.find(hashes)
     found: dict[int, list[dict]] = {}
-    regions: list[list[int]] = []
-    for d, i, a, b in zip(doc[order].tolist(), item[order].tolist(), start[order].tolist(), end[order].tolist()):
-        if regions and regions[-1][:2] == [d, i] and a <= regions[-1][3]:
-            regions[-1][3] = max(regions[-1][3], b)
-        else:
-            regions.append([d, i, a, b])
+    if not len(hit):
+        return found
+    windows = [_windows(items, first, here[hit[a:b]], seed[a:b]) for a, b in _shares(items.begin[seed + 1] - items.begin[seed])]
+    doc, item, start, end = np.unique(np.concatenate(windows, axis=1), axis=1)
+    # Both ends of an item's windows grow together, so a window that overlaps another overlaps the one before it.
+    new = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(item) != 0) | (start[1:] > end[:-1])))
+    doc, item, start, end = doc[new], item[new], start[new], end[np.append(new[1:], len(end)) - 1]
+    bound = np.concatenate([items.most(word, item[a:b], start[a:b], end[a:b]) for a, b in _shares(end - start)])
+    keep = bound >= min_score * 2 * (items.first[item + 1] - items.first[item])
+    regions = zip(doc[keep].tolist(), item[keep].tolist(), start[keep].tolist(), end[keep].tolist())
     for d, i, a, b in regions:
         own, text = items.word[items.first[i] : items.first[i + 1]], word[a:b]
         best, stop = align(own, text)
@@ -141,7 +153,7 @@ def _match(items: Items, word: np.ndarray, first: np.ndarray, min_score: float)
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, min_score: float = 0.5, common: float = 4.0, most_seeds: int = 1_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, min_score: float = 0.5, most_seeds: int = 1_000_000) -> DataFrame:
     """docs with matches: array<struct<item_id, score (share of an exact copy's), start, length (in words)>>."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(item_text), F.lit(""))
@@ -157,14 +169,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         part = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
         items = Items(part.column("item_id").to_pylist(), *B.utf8(part.column("text")), n)
         sent = spark.sparkContext.broadcast(items)
-        counted = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(lambda it, sent=sent: _count(it, sent.value), "seed long, n long")
-        items.mark_rare({r["seed"]: r["n"] for r in counted.groupBy("seed").agg(F.sum("n").alias("n")).collect()}, common)  # one row for each seed of the block at most
-        marked = spark.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch], marked=marked) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in B.pieces(batches, text):
                 word, first = word_hashes(*B.utf8(batch.column(batch.schema.get_field_index(text))))
-                found = _match(marked.value, word, first, min_score)
+                found = _match(sent.value, word, first, min_score)
                 at = batch.schema.get_field_index("matches")
                 old = batch.column(at)
                 if found:
