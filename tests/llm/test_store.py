@@ -13,6 +13,21 @@ def test_numbers_of_a_scan_need_no_copy(spark, sf):
     assert first == again and len(set(first.values())) == len(first)
 
 
+def test_numbers_do_not_depend_on_the_splits(spark, tmp_path):
+    path = str(tmp_path / "files")
+    for k in range(3):
+        spark.range(k * 1000, k * 1000 + 100 * (k + 1)).repartition(4).write.mode("append").parquet(path)
+    for df in (spark.read.parquet(path), spark.read.parquet(path).where("id % 3 = 0"), spark.read.parquet(path, path), spark.range(50)):
+        scan, seen = store.numbered(df, "row"), []
+        for size in ("128m", "1k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            try:
+                seen.append(sorted((r.id, r.row) for r in scan.select("*").collect()))
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert seen[0] == seen[1] and len({row for _, row in seen[0]}) == len(seen[0]) == df.count()
+
+
 def test_written_tables_are_below_the_checkpoint_folder(spark):
     df = store.written(spark.range(5))
     assert spark.conf.get("spark.checkpoint.dir") in df.inputFiles()[0] and df.count() == 5

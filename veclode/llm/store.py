@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +40,25 @@ def release(spark: SparkSession) -> None:
 
 
 def numbered(df: DataFrame, row: str = "__row") -> DataFrame:
-    """df with a number for each row that is the same each time df is computed. Only a plain scan gives its
-    rows in the same order always, so anything else is written first."""
+    """df with a number for each row that is the same each time df is computed, however its files are split:
+    the file's place in the order of paths and the row's place in the file. Anything but a plain scan of
+    distinct Parquet files is written first."""
     plan = df._jdf.queryExecution().optimizedPlan()
     names = {plan.nodeName(), *(line.strip(" :+-").split(" ")[0] for line in plan.toString().splitlines())}
-    if not names <= {"Relation", "Project", "Filter", "LogicalRelation", ""}:
+    if not names <= {"Relation", "Project", "Filter", "LogicalRelation", ""} or not _rows_have_places(df, plan):
         df = written(df)
-    return df.withColumn(row, F.monotonically_increasing_id())
+    path = F.col("_metadata.file_path").alias("__path")
+    paths = sorted(r[0] for r in df.select(path).distinct().collect())  # one for each file
+    files = df.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), "__path string, __file long")
+    placed = df.select("*", path, F.col("_metadata.row_index").alias("__index")).join(F.broadcast(files), "__path")
+    return placed.select(*df.columns, (F.shiftleft("__file", 40) + F.col("__index")).alias(row))
+
+
+def _rows_have_places(df: DataFrame, plan) -> bool:
+    """Whether a scan's rows know their places in their files and no file is read twice."""
+    try:
+        df.select("_metadata.row_index").schema
+    except AnalysisException:
+        return False
+    files = list(plan.collectLeaves().head().relation().location().inputFiles())
+    return len(files) == len(set(files))
