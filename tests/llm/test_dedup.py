@@ -61,6 +61,19 @@ def test_line_rows(spark):
     assert [tuple(s) for s in spans] == [(2, len(long))]
 
 
+def test_line_runs_of_repeated_rows_and_null_ids(spark):
+    """Runs of several lines: rows that repeat, rows without an id, texts that share an id."""
+    run = "\n".join(f"a{i} b c" for i in range(16))
+    pairs = [f"{w} one two three\n{w} four five six" for w in "pq"]
+    mixed = pairs[0].split("\n")[0] + "\n" + pairs[1].split("\n")[1]
+    rows = [(1, run)] * 30 + [(2, f"x\n{run}")] * 30 + [(None, pairs[0]), (None, pairs[1]), (7, pairs[0]), (8, pairs[1]), (9, mixed), (None, f"{run}\ny"), (10, None)]
+    out = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=8)
+    want = [(1, "")] * 30 + [(2, "x")] * 30 + [(None, pairs[0]), (None, pairs[1]), (7, ""), (8, ""), (9, mixed), (None, f"{run}\ny"), (10, None)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, want))
+    twice = [(None, f"{pairs[0]}\nz\n{pairs[0]}")]
+    assert [r.text for r in lines.line_dedup(spark.createDataFrame(twice, "doc_id long, text string"), min_words=8).collect()] == [f"{pairs[0]}\nz"]
+
+
 def test_paragraphs_and_normal_form(spark):
     df = spark.createDataFrame([(1, "A b  c d e.\n\nfirst"), (2, "x\n\n a B c\td E. \n\ny")], "doc_id long, text string")
     out = {r.doc_id: r.text for r in lines.substring_dedup(df, unit="paragraph").collect()}

@@ -128,18 +128,21 @@ def repeated_lines(df: DataFrame, id: str = "doc_id", text: str = "text", min_wo
     key = df.select(F.col(id).alias("__id"), F.xxhash64(_text(text)).alias("__key"), _text(text).alias("__text"))
     id_type = df.schema[id].dataType.simpleString()
     lines = key.mapInArrow(lambda it: _lines(it, min_words), f"__id {id_type}, __key long, line int, a long, b long, forward int, backward int")
-    at = F.struct(F.col("__id").alias("id"), F.col("line").alias("line"))
-    first = lines.groupBy("a", "b").agg(F.min(at).alias("class"), F.count("*").alias("n")).where("n > 1").drop("n")
+    lines = lines.withColumn("__id", F.struct(F.col("__id").alias("id")))  # never null, so that null ids meet in joins
+    earlier = ~F.struct(F.col("__id").alias("id"), F.col("line").alias("line")).eqNullSafe(F.struct("class.id", "class.line"))
+    first = lines.groupBy("a", "b").agg(F.min(_name()).alias("class"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Written first, the counts are an input of their own and a hot line's rows can be split in the join.
     level = written(lines.join(written(first), ["a", "b"]).drop("a", "b"))
     # Shortest runs: (start, length) in a document; of one line they are decided at level 0.
     runs = level.select("__id", "__key", F.explode(F.array(F.struct(F.col("line").alias("line"), F.col("forward").alias("m")), F.struct((F.col("line") - F.col("backward") + 1).alias("line"), F.col("backward").alias("m")))).alias("run"))
     runs = runs.where("run.m > 1").select("__id", "__key", "run.*").distinct()
     same_text = ["__id", "__key"]
-    single = level.where((F.col("forward") == 1) & ~at.eqNullSafe(F.col("class"))).select(*same_text, F.col("line"), F.lit(1).alias("m"))
+    single = level.where((F.col("forward") == 1) & earlier).select(*same_text, F.col("line"), F.lit(1).alias("m"))
     found = [single]
     longest = runs.agg(F.max("m")).first()[0] or 1
     classes = level.select(*same_text, "line", "class")
+    if longest > 1:
+        classes = written(classes.dropDuplicates([*same_text, "line"]))  # repeated rows stand for one another
     k = 0
     while 2 ** (k + 1) <= longest:
         # Level k + 1: the classes of pairs that stand 2**k lines apart.
@@ -148,26 +151,31 @@ def repeated_lines(df: DataFrame, id: str = "doc_id", text: str = "text", min_wo
         k += 1
         here = runs.where((F.col("m") >= 2**k) & (F.col("m") < 2 ** (k + 1)))
         exact = here.where(F.col("m") == 2**k).join(classes, [*same_text, "line"])
-        found.append(exact.where(~at.eqNullSafe(F.col("class"))).select(*same_text, "line", "m"))
+        found.append(exact.where(earlier).select(*same_text, "line", "m"))
         inner = here.where(F.col("m") > 2**k).join(classes, [*same_text, "line"])
         tail = classes.select(*same_text, F.col("line").alias("tail"), F.col("class").alias("next"))
         inner = inner.withColumn("tail", F.col("line") + F.col("m") - 2**k).join(tail, [*same_text, "tail"]).drop("tail")
-        found.append(_named(inner, "m").where(~at.eqNullSafe(F.col("class"))).select(*same_text, "line", "m"))
+        found.append(_named(inner, "m").where(earlier).select(*same_text, "line", "m"))
     covered = found[0]
     for more in found[1:]:
         covered = covered.unionByName(more)
     covered = covered.select(*same_text, F.explode(F.sequence(F.col("line"), F.col("line") + F.col("m") - 1)).alias("line"))
-    return covered.groupBy(*same_text).agg(F.collect_set("line").alias("units"))
+    return covered.groupBy(*same_text).agg(F.collect_set("line").alias("units")).withColumn("__id", F.col("__id.id"))
 
 
 def _apart(a: DataFrame, b: DataFrame, distance: int) -> DataFrame:
     return a.join(b.withColumn("line", F.col("line") - distance), ["__id", "__key", "line"])
 
 
+def _name() -> F.Column:
+    """A position, as occurrences are ranked, and the text's digest, as texts can share an id."""
+    return F.struct(F.col("__id").alias("id"), F.col("line").alias("line"), F.col("__key").alias("key"))
+
+
 def _named(pairs: DataFrame, *more: str) -> DataFrame:
     """pairs with class: the earliest position whose class and next (and more) are equal."""
     by = ["class", "next", *more]
-    first = pairs.groupBy(*by).agg(F.min(F.struct(F.col("__id").alias("id"), "line")).alias("first"))
+    first = pairs.groupBy(*by).agg(F.min(_name()).alias("first"))
     return pairs.join(first, by).drop(*[c for c in by if c not in more]).withColumnRenamed("first", "class")
 
 
