@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veclode.llm import bpe, decontaminate, lines, neardup, toxicity
 from veclode.llm.queries import toxicity_model, vocabulary
-from veclode.llm.store import folder
+from veclode.llm.store import folder, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +27,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (shingles of five words, similarity 0.8) stays: the one of the smallest id."""
-    groups = neardup.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates (shingles of five words, similarity 0.8) stays: the one of the smallest id.
+    Texts that share an id are documents of their own; of rows that share both, one stays."""
+    groups = written(neardup.groups(docs.select("doc_id", "text"), "doc_id", "text"))
+    gone = groups.where("node <> component").select("node").distinct()
+    twice = groups.where("n > 0 AND node = component").groupBy("node").count().where("count > 1").select("node")
+    keyed = docs.withColumn("node", neardup.node_of("doc_id", "text"))
+    once = keyed.join(gone.unionByName(twice), "node", "left_anti")
+    one = keyed.join(twice, "node", "left_semi").dropDuplicates(["node"])
+    return once.unionByName(one).select(*docs.columns)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

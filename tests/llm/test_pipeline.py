@@ -49,3 +49,12 @@ def test_stages_keep_the_columns(spark, sf, k):
     assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
     assert {10**6, 10**6 + 1} <= {r.doc_id for r in out.collect()}
     assert stage(spark, docs.where("false"), sf).collect() == []
+
+
+def test_near_duplicates_of_shared_and_null_ids(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    same = " ".join(map(str, range(50)))
+    rows = [(None, same), (3, same), (3, same), (3, "else entirely"), (8, "p q r s t u"), (8, "p q r s t u"), (9, ""), (9, ""), (None, "p q r s t u v w x y z"), (None, "p q r s t u v w x y z")]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema), sf)
+    want = [(None, same), (3, "else entirely"), (8, "p q r s t u"), (9, ""), (9, ""), (None, "p q r s t u v w x y z")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, want))
