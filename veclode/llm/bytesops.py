@@ -79,11 +79,52 @@ def prefix(data: np.ndarray, base: int = _BASE) -> np.ndarray:
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """Hashes of the substrings [start, end): equal substrings have equal hashes wherever they stand."""
+    """Rolling hashes of the substrings [start, end): equal substrings have equal hashes wherever they stand. Different
+    ones of special forms can share one, so these only choose positions and contexts; units go by unit_hash."""
     _, down = powers(len(sums), base)
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+_EIGHT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LANES = mix(np.arange(1, 5, dtype=np.uint64) * _U(_BASE))
+_LONG, _PIECE = 1024, 512
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each byte, it and the next seven as one little-endian number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def unit_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hashes of the spans [start, end), eight bytes a step, each step scrambled; lanes are independent of each other.
+    Long spans are hashed in pieces, and then the row of their hashes."""
+    length = end - start
+    h = mix(length.astype(np.uint64) ^ _LANES[lane])
+    if not len(h):
+        return h
+    wide = eights(data)
+    long = length > _LONG
+    left = np.flatnonzero((length > 0) & ~long)
+    at, rest, own = start[left], length[left], h[left]
+    while len(left):
+        own = mix(own ^ (wide[at] & _EIGHT[np.minimum(rest, 8)]))
+        done = rest <= 8
+        if done.any():
+            h[left[done]] = own[done]
+            on = np.flatnonzero(~done)
+            left, at, rest, own = left[on], at[on], rest[on], own[on]
+        at, rest = at + 8, rest - 8
+    if long.any():
+        pieces = -(-length[long] // _PIECE)
+        to = np.concatenate([[0], np.cumsum(pieces)])
+        begin = np.repeat(start[long] - to[:-1] * _PIECE, pieces) + np.arange(to[-1]) * _PIECE
+        inner = unit_hash(data, begin, np.minimum(begin + _PIECE, np.repeat(end[long], pieces)), lane)
+        h[long] = mix(h[long] ^ unit_hash(inner.view(np.uint8), 8 * to[:-1], 8 * to[1:], lane))
+    return h
+
+
 def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes (A-Z only), word starts, word ends and, for each text, the index of its first word (n + 1).
     apart: which bytes stand between words."""

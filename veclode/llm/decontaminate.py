@@ -36,7 +36,7 @@ _MULTIPLY = np.uint64(0xC2B2AE3D27D4EB4F)
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in a row and the n + 1 offsets."""
     _, start, end, first = B.words(data, at, _APART)
-    return B.span_hash(B.prefix(lower(data)), start, end), first
+    return B.unit_hash(lower(data), start, end), first
 
 
 def ngrams(word: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -106,8 +106,7 @@ def _lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
         forward = np.where((stop <= first[doc + 1]) & (stop < len(sums)), stop - here, 0)
         begin = np.searchsorted(sums, sums[1:] - min_words, "right") - 1  # the start of the shortest run to here
         backward = np.where((sums[1:] >= min_words) & (begin >= first[doc]), here + 1 - begin, 0)
-        a = B.span_hash(B.prefix(data), start, end)
-        b = B.span_hash(B.prefix(data, _OTHER), start, end, _OTHER)
+        a, b = B.unit_hash(data, start, end), B.unit_hash(data, start, end, 1)
         take = pa.array(doc, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column(batch.schema.get_field_index("__id")).take(take), batch.column(batch.schema.get_field_index("__key")).take(take), pa.array(number, pa.int32()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(forward, pa.int32()), pa.array(backward, pa.int32())],

@@ -65,9 +65,8 @@ def lower(data: np.ndarray) -> np.ndarray:
 
 def _word_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words and of the first five bytes of those that are longer (else 0)."""
-    sums = B.prefix(low)
-    begin = np.where(end - start > 5, B.span_hash(sums, start, np.minimum(start + 5, end)) ^ np.uint64(1), np.uint64(0))
-    return B.span_hash(sums, start, end), begin
+    begin = np.where(end - start > 5, B.unit_hash(low, start, np.minimum(start + 5, end)) ^ np.uint64(1), np.uint64(0))
+    return B.unit_hash(low, start, end), begin
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +128,7 @@ def features(data: np.ndarray, at: np.ndarray, words: np.ndarray, weights: np.nd
     letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
     some = letters[e2] - letters[s2]
     inside = (some > 0) & (some < e2 - s2) & _EDGE[data[s2]] & _EDGE[data[np.maximum(e2 - 1, 0)]] if len(s2) else np.zeros(0, bool)
-    masked = look(B.span_hash(B.prefix(_LEET[low]), s2[inside], e2[inside])) > 0
+    masked = look(B.unit_hash(_LEET[low], s2[inside], e2[inside])) > 0
     total = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[at])
     upper = (data >= 65) & (data <= 90)
     n_letters, n_upper, size = total(_LETTER[data]), total(upper), np.maximum(np.diff(at), 1)
@@ -146,7 +145,7 @@ def _second() -> np.ndarray:
     raw = [w.encode() for w in SECOND_PERSON]
     ends = np.cumsum([len(w) for w in raw])
     data = np.frombuffer(b"".join(raw), np.uint8)
-    return B.span_hash(B.prefix(data), ends - [len(w) for w in raw], ends)
+    return B.unit_hash(data, ends - [len(w) for w in raw], ends)
 
 
 SECOND = _second()
