@@ -201,3 +201,48 @@ def test_stream_appends(spark, path, tmp_path):
     q = append_stream(stream, path, str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.id for r in Dataset(path, spark).read().tdata.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_old_versions_stay_until_vacuum(spark, path):
+    d = Dataset(path, spark)
+    d.write({"a": [1, 2]}, {"e": np.eye(2)})
+    old = d.read()
+    table, vector = old.tdata, old.vdata
+    d.write({"a": [7]})
+    assert [r.a for r in table.orderBy("a").collect()] == [1, 2] and vector.count() == 2
+    d.vacuum()
+    assert [r.a for r in d.read().tdata.collect()] == [7] and len(d._store.listed()) == 1
+
+
+def test_appended_vectors_match_the_rows(spark, path):
+    d = Dataset(path, spark)
+    d.write({"a": [1, 2]}, {"e": np.eye(2)})
+    for table, vectors in (({"a": [3]}, 5), (None, 1), (spark.createDataFrame([(3,)], "a long"), 2)):
+        with pytest.raises(ValueError, match="First dimension"):
+            d.append(table, {"e": np.ones((vectors, 2))})
+    assert d.shape == (2, 1) and d.read("e").vdata.count() == 2
+    d.append({"a": [3]})
+    d.append(vdata={"e": np.ones((1, 2))})
+    assert d.shape == (3, 1) and d.get_vec_shape("e") == [3, 2]
+
+
+def test_vectors_from_columns(spark, path):
+    rows = spark.createDataFrame([(i, [float(i), 1.0], "x") for i in range(5)], "k long, v array<float>, s string").orderBy("k")
+    d = Dataset(path, spark)
+    d.write(rows, {"e": "v"})
+    d.append(rows, {"e": "v"})
+    assert d.shape == (10, 2) and d.get_vec_shape("e") == [10, 2] and d.list_columns()["e"]["dtype"] == "float32"
+    assert [(r.row_id, r.e) for r in d.read("e").vdata.orderBy("row_id").collect()] == [(i, [float(i % 5), 1.0]) for i in range(10)]
+    ragged = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "k long, v array<double>")
+    with pytest.raises(ValueError, match="differ in size"):
+        Dataset(path + "2", spark).write(ragged, {"e": "v"})
+    with pytest.raises(ValueError, match="not found"):
+        d.write(rows, {"e": "none"})
+
+
+def test_a_batch_delivered_again_changes_nothing(spark, path):
+    d = Dataset(path, spark)
+    for number in (0, 1, 1, 0):
+        d.append({"a": [number]}, once=("s", number))
+    d.append({"a": [9]}, once=("t", 0))
+    assert sorted(r.a for r in d.read().tdata.collect()) == [0, 1, 9]

@@ -29,5 +29,5 @@ def test_against_sql(spark, sf, duck, name):
 def test_entry(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).count() == 50
+    assert entry.entry(spark).count() == 250
     assert set(entry.oracle_sql()) <= set(entry.queries())

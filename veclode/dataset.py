@@ -25,7 +25,11 @@ class Dataset:
     """Handle of a dataset; opening one reads nothing.
 
     write and append stage Parquet files in new directories and then replace the manifest, so readers see
-    all of a change or none of it and a rejected write loses nothing.
+    all of a change or none of it and a rejected write loses nothing. Files of superseded versions stay for those
+    who still read them until vacuum().
+
+    Vectors come as NumPy arrays or, with a Spark DataFrame, as the name of one of its array columns (of arrays of
+    one size, or arrays of such arrays), which then is the vector and no column of the table.
     """
 
     def __init__(self, path: str, spark: SparkSession | None = None):
@@ -169,29 +173,39 @@ class Dataset:
 
     # Changes
 
-    def _put_table(self, data, first: int, expect: T.StructType | None = None) -> tuple[T.StructType, dict[str, str], str, int]:
+    def _put_table(self, data, first: int, vdata: dict, expect: T.StructType | None = None) -> tuple[T.StructType, dict[str, str], str, int, list[Vector]]:
+        """Writes the table's part, and the parts of the vectors that are columns of data."""
         df, dtypes, n = ingest.table_rows(self.spark, data, first)
-        schema = T.StructType([f for f in df.schema.fields if f.name != POSITION])
+        named = {name: c for name, c in vdata.items() if isinstance(c, str)}
+        for c in named.values():
+            if n is not None or c not in df.columns:
+                raise errors.no_column(c)
+        schema = T.StructType([f for f in df.schema.fields if f.name != POSITION and f.name not in named.values()])
+        dtypes = {c: t for c, t in dtypes.items() if c in schema.names}
         if n is None and POSITION in df.columns:
             raise ValueError(f"{POSITION} is a reserved column name")
         if expect is not None and [(f.name, f.dataType) for f in schema] != [(f.name, f.dataType) for f in expect]:
             raise ValueError(errors.SCHEMA)
         if n == 0:
             raise ValueError(errors.EMPTY)
-        part = self._store.new_part("table")
+        part, vectors = self._store.new_part("table"), []
         target = self._store.full([part])[0]
-        if n is None:
-            stage = self._store.new_part("staged")
-            ingest.staged(df).write.parquet(self._store.full([stage])[0])
+        if n is not None:
+            df.write.options(**_OPTIONS).parquet(target)
+            return schema, dtypes, part, n, vectors
+        stage = self._store.new_part("staged")
+        ingest.staged(df).write.parquet(self._store.full([stage])[0])
+        try:
             df, n = ingest.dense(self.spark.read.parquet(self._store.full([stage])[0]), first)
-            if n:
-                df.write.options(**_OPTIONS).parquet(target)
-            self._store.drop([stage])
             if not n:
                 raise ValueError(errors.EMPTY)
-        else:
-            df.write.options(**_OPTIONS).parquet(target)
-        return schema, dtypes, part, n
+            for name, c in named.items():
+                vectors.append(Vector(name, [n, *ingest.array_shape(df, c)], ingest.array_dtype(df, c), [self._store.new_part("vectors")]))
+                df.select(F.col(c).alias(name), POSITION).write.options(**_OPTIONS).parquet(self._store.full(vectors[-1].parts)[0])
+            df.select(*[f"`{f.name}`" for f in schema], POSITION).write.options(**_OPTIONS).parquet(target)
+        finally:
+            self._store.drop([stage])
+        return schema, dtypes, part, n, vectors
 
     def _put_vector(self, name: str, array, first: int) -> Vector:
         df, shape, dtype = ingest.vector_rows(self.spark, name, array, first)
@@ -199,45 +213,56 @@ class Dataset:
         df.write.options(**_OPTIONS).parquet(self._store.full([part])[0])
         return Vector(name, shape, dtype, [part])
 
+    @staticmethod
+    def _check_rows(found: dict[str, int], rows: int) -> None:
+        for n in found.values():
+            if rows and n != rows:
+                raise ValueError(f"First dimension must match number of rows: {n} and {rows}")
+
     def write(self, tdata=None, vdata: dict | None = None) -> None:
         """Replaces the dataset by a table (and its vectors), or adds or replaces vectors of the present one."""
         if tdata is None and vdata is None:
             raise ValueError(errors.NOTHING)
         if vdata is not None and not isinstance(vdata, dict):
             raise ValueError(errors.NOT_DICT)
+        vdata = vdata or {}
         old = self._store.load() if self._store.exists() else Manifest()
         if tdata is not None and not isinstance(tdata, DataFrame):
             tdata = ingest.arrow_table(tdata)
             rows = tdata.num_rows
         else:
             rows = None if tdata is not None else old.rows
-        for array in (vdata or {}).values():  # before anything is written
-            ingest.vector_array(array)
-            if rows and array.shape[0] != rows:
-                raise ValueError(f"First dimension must match number of rows: {array.shape[0]} and {rows}")
+        arrays = {name: array for name, array in vdata.items() if not (isinstance(array, str) and isinstance(tdata, DataFrame))}
+        sizes = {name: ingest.vector_array(array)[1][0] for name, array in arrays.items()}  # before anything is written
+        self._check_rows(sizes, rows or 0)
         if tdata is not None:
-            schema, dtypes, part, n = self._put_table(tdata, 0)
-            new = Manifest(n, schema.json(), dtypes, [part], [])
+            schema, dtypes, part, n, vectors = self._put_table(tdata, 0, vdata)
+            new = Manifest(n, schema.json(), dtypes, [part], vectors)
         else:
-            new = Manifest(old.rows, old.schema, old.dtypes, old.parts, list(old.vectors))
-        for name, array in (vdata or {}).items():
-            if new.rows and array.shape[0] != new.rows:
-                raise ValueError(f"First dimension must match number of rows: {array.shape[0]} and {new.rows}")
+            new = Manifest(old.rows, old.schema, old.dtypes, old.parts, list(old.vectors), old.streams)
+        self._check_rows(sizes, new.rows)
+        for name, array in arrays.items():
             vector = self._put_vector(name, array, 0)
             new.vectors = [vector if v.name == name else v for v in new.vectors] if new.vector(name) else [*new.vectors, vector]
             new.rows = new.rows or array.shape[0]
+        new.vectors.sort(key=lambda v: list(vdata).index(v.name) if tdata is not None else 0)
         self._store.save(new)
-        kept = {*new.parts, *(p for v in new.vectors for p in v.parts)}
-        self._store.drop([p for p in [*old.parts, *(p for v in old.vectors for p in v.parts)] if p not in kept])
 
-    def append(self, tdata=None, vdata: dict | None = None) -> None:
-        """Adds rows; the schema, and for vectors the names, dtypes and trailing dimensions, must be the same."""
+    def append(self, tdata=None, vdata: dict | None = None, once: tuple[str, int] | None = None) -> None:
+        """Adds rows; the schema, and for vectors the names, dtypes and trailing dimensions, must be the same. With vectors
+        in it, an append has to end with as many of each as the table has rows; a table's rows may come first, alone.
+        once: a stream and its batch number; a batch that is not later than the stream's last one changes nothing."""
         if tdata is None and vdata is None:
             raise ValueError(errors.NOTHING)
         if not self._store.exists():
-            return self.write(tdata, vdata)
+            if once is None:
+                return self.write(tdata, vdata)
+            self._store.save(Manifest())
         old = self._store.load()
-        new = Manifest(old.rows, old.schema, old.dtypes, list(old.parts), list(old.vectors))
+        if once is not None and old.streams.get(once[0], -1) >= once[1]:
+            return
+        new = Manifest(old.rows, old.schema, old.dtypes, list(old.parts), list(old.vectors), old.streams | ({once[0]: once[1]} if once else {}))
+        arrays, named = {}, {}
         if vdata is not None:
             if not isinstance(vdata, dict):
                 raise ValueError(errors.NOT_DICT)
@@ -246,23 +271,45 @@ class Dataset:
             for v in old.vectors:
                 if v.name not in vdata:
                     raise ValueError(f"Vector '{v.name}' not found in input data")
+                if isinstance(vdata[v.name], str) and isinstance(tdata, DataFrame):
+                    named[v.name] = vdata[v.name]
+                    continue
                 _, shape, dtype = ingest.vector_array(vdata[v.name])
-                if dtype != v.dtype:
-                    raise ValueError(f"Data type mismatch for '{v.name}': {dtype} and {v.dtype}")
-                if shape[1:] != v.shape[1:]:
-                    raise ValueError(f"Shape mismatch for '{v.name}': {shape[1:]} and {v.shape[1:]}")
+                self._same_kind(v, shape, dtype)
+                arrays[v.name] = vdata[v.name]
+        if tdata is not None and not isinstance(tdata, DataFrame):
+            tdata = ingest.arrow_table(tdata)
+        added = tdata.num_rows if tdata is not None and not isinstance(tdata, DataFrame) else 0 if tdata is None else None
+        total = {v.name: v.shape[0] + arrays[v.name].shape[0] for v in old.vectors if v.name in arrays}
+        if old.parts and added is not None:
+            self._check_rows(total, old.rows + added)
+        fresh: list[Vector] = []
         if tdata is not None:
-            schema, _, part, n = self._put_table(tdata, old.rows, self._schema(old) if old.parts else None)
+            schema, dtypes, part, n, fresh = self._put_table(tdata, old.rows, named, self._schema(old) if old.parts else None)
             if not old.parts:
-                new.schema = schema.json()
+                new.schema, new.dtypes = schema.json(), dtypes
             new.parts.append(part)
             new.rows += n
+            self._check_rows(total, new.rows)
+            for v in fresh:
+                self._same_kind(old.vector(v.name), v.shape, v.dtype)
+                self._check_rows({v.name: old.vector(v.name).shape[0] + v.shape[0]}, new.rows)
         if vdata is not None:
-            added = []
-            for v in old.vectors:
-                more = self._put_vector(v.name, vdata[v.name], v.shape[0])
-                added.append(Vector(v.name, [v.shape[0] + more.shape[0], *v.shape[1:]], v.dtype, [*v.parts, *more.parts]))
-            new.vectors = added
+            more = {v.name: v for v in fresh} | {name: self._put_vector(name, a, old.vector(name).shape[0]) for name, a in arrays.items()}
+            new.vectors = [Vector(v.name, [v.shape[0] + more[v.name].shape[0], *v.shape[1:]], v.dtype, [*v.parts, *more[v.name].parts]) for v in old.vectors]
             if not new.parts:
-                new.rows = added[0].shape[0]
+                new.rows = new.vectors[0].shape[0]
         self._store.save(new)
+
+    @staticmethod
+    def _same_kind(v: Vector, shape: list[int], dtype: str) -> None:
+        if dtype != v.dtype:
+            raise ValueError(f"Data type mismatch for '{v.name}': {dtype} and {v.dtype}")
+        if shape[1:] != v.shape[1:]:
+            raise ValueError(f"Shape mismatch for '{v.name}': {shape[1:]} and {v.shape[1:]}")
+
+    def vacuum(self) -> None:
+        """Deletes the files of superseded versions and of rejected writes. No one may be writing, or reading those."""
+        manifest = self._manifest()
+        kept = {*manifest.parts, *(p for v in manifest.vectors for p in v.parts)}
+        self._store.drop([p for p in self._store.listed() if p not in kept])

@@ -1,7 +1,7 @@
 """Exact top-k vector search: a stated set of queries against all rows, in blocks of queries.
 
-Two kernels give the same ranks: "expressions" keeps everything in built-in functions, "arrow" multiplies
-matrices batch by batch and passes on each batch's best rows. Either way the final top-k is a window that
+Two kernels give the same ranks: "expressions" keeps everything in built-in functions, "arrow" works on
+matrices batch by batch and passes on each task's best rows. Either way the final top-k is a window that
 Spark limits before its shuffle, so at most tasks * queries * k rows move. Ties go to the smaller row id.
 """
 
@@ -18,6 +18,8 @@ from ..functions import metrics
 
 #: A block of queries sent to all tasks holds at most so many numbers (16 MB).
 BLOCK_VALUES = 1 << 21
+#: A task holds its best rows if queries * k is at most this.
+HELD_ROWS = 1 << 22
 
 
 def query_table(spark: SparkSession, queries: np.ndarray) -> DataFrame:
@@ -51,14 +53,21 @@ def knn_expressions(base: DataFrame, queries: DataFrame, k: int, metric: str, by
 
 
 def _scores(v: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    dots = v @ q.T
-    if metric == "ip":
-        return dots
-    vv, qq = (v * v).sum(axis=1)[:, None], (q * q).sum(axis=1)[None, :]
-    if metric == "l2":
-        return ((v[:, None, :] - q[None, :, :]) ** 2).sum(axis=2) if v.size * len(q) <= 1 << 22 else np.maximum(vv - 2 * dots + qq, 0)
-    norms = np.sqrt(vv * qq)
-    return np.where((vv == 0) & (qq == 0), 0.0, np.where(norms == 0, 1.0, 1 - dots / np.where(norms == 0, 1, norms)))
+    """The metric of each row of v and each query: sums over a row's own products, so that neither the number of queries
+    nor the cut of the batches can change a value."""
+    out = np.empty((len(v), len(q)))
+    vv = (v * v).sum(axis=1) if metric == "cosine" else None
+    for j, x in enumerate(q):
+        if metric == "l2":
+            step = v - x
+            out[:, j] = np.multiply(step, step, out=step).sum(axis=1)
+            continue
+        out[:, j] = (v * x).sum(axis=1)
+        if metric == "cosine":
+            xx = (x * x).sum()
+            norm = np.sqrt(vv * xx)
+            out[:, j] = np.where((vv == 0) & (xx == 0), 0.0, np.where(norm == 0, 1.0, 1 - out[:, j] / np.where(norm == 0, 1, norm)))
+    return out
 
 
 def _matrix(lists: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +85,34 @@ def _matrix(lists: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return good, values[start[good][:, None] + np.arange(dim)] if good.any() else np.zeros((0, dim))
 
 
+class _Best:
+    """The best k rows of one task for each query so far: columns query (index), by, distance and __order."""
+
+    def __init__(self, queries: int, k: int, by: list[str]):
+        self.k, self.limit, self.held, self.rows = k, np.full(queries, np.inf), [], 0
+        self.sort = [("query", "ascending"), ("__order", "ascending"), *((c, "ascending") for c in by)]
+        self.most = 2 * queries * k + (1 << 16)
+
+    def add(self, table: pa.Table) -> None:
+        self.held.append(table)
+        self.rows += table.num_rows
+        if self.rows > self.most:
+            self.held = [self.taken()]
+            self.rows = self.held[0].num_rows
+
+    def taken(self) -> pa.Table:
+        table = pa.concat_tables(self.held).sort_by(self.sort)  # empty orders last
+        query = table.column("query").to_numpy()
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        table, query, place = table.filter(pa.array(place < self.k)), query[place < self.k], place[place < self.k]
+        full = place == self.k - 1
+        self.limit[query[full]] = table.column("__order").fill_null(np.inf).to_numpy()[full]
+        return table
+
+
 def knn_arrow(base: DataFrame, queries: DataFrame, k: int, metric: str, by: list[str]) -> DataFrame:
-    """As knn_expressions, by matrix products; vectors of another length than the queries' rank last, as nulls."""
+    """As knn_expressions, in numpy; vectors of another length than the queries' rank last, as nulls. A task holds its
+    best rows, at most queries * k and a batch, and passes them on once."""
     spark, out = base.sparkSession, None
     schema = "query_id long, " + ", ".join(f"{c} {base.schema[c].dataType.simpleString()}" for c in by) + ", distance double, __order double"
     for block in _blocks(queries):
@@ -87,28 +122,29 @@ def knn_arrow(base: DataFrame, queries: DataFrame, k: int, metric: str, by: list
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
+            named = lambda t: t.set_column(0, "query_id", pa.array(ids[t.column("query").to_numpy()])).to_batches(max_chunksize=1 << 16)
+            best = _Best(len(q), k, by)
             for whole in batches if len(ids) else ():
                 for at in range(0, whole.num_rows, 2048):
                     batch = whole.slice(at, 2048)
-                    lists = batch.column(batch.schema.get_field_index("v"))
-                    good, v = _matrix(lists, q.shape[1])
+                    good, v = _matrix(batch.column(batch.schema.get_field_index("v")), q.shape[1])
                     value = np.full((batch.num_rows, len(q)), np.nan)
                     value[good] = _scores(v, q, metric)
                     rank = np.where(np.isnan(value), np.inf, -value if metric == "ip" else value)
-                    rows, columns = [], []
-                    for j in range(len(q)):
-                        limit = np.partition(rank[:, j], k - 1)[k - 1] if k < len(rank) else np.inf
-                        near = np.flatnonzero(rank[:, j] <= limit)  # with all ties
-                        rows.append(near)
-                        columns.append(np.full(len(near), j))
-                    row, column = np.concatenate(rows), np.concatenate(columns)
-                    d = value[row, column]
-                    keep = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row)) for c in by]
+                    column, row = np.nonzero(rank.T <= best.limit[:, None])  # with all ties
+                    d, order = value[row, column], rank[row, column]
                     empty = np.isnan(d)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[column]), *keep, pa.array(d, mask=empty), pa.array(rank[row, column], mask=empty)], names=["query_id", *by, "distance", "__order"])
-
-        best = _best(base.select(*by, "v").mapInArrow(run, schema), k, by)
-        out = best if out is None else out.unionByName(best)
+                    keep = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row)) for c in by]
+                    found = pa.table([pa.array(column), *keep, pa.array(d, mask=empty), pa.array(order, mask=empty)], names=["query", *by, "distance", "__order"])
+                    if len(ids) * k <= HELD_ROWS:
+                        best.add(found)
+                    else:  # so many are wanted that holding them saves nothing
+                        yield from named(found)
+            if best.held:
+                yield from named(best.taken())
+
+        found = _best(base.select(*by, "v").mapInArrow(run, schema), k, by)
+        out = found if out is None else out.unionByName(found)
     return out
 
 

@@ -7,8 +7,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..errors import bad_input
+from ..errors import BAD_RANK, bad_dtype, bad_input
 from .types import vector_array, widen  # noqa: F401
 
 POSITION = "__row_id"
@@ -64,3 +65,29 @@ def dense(written: DataFrame, first: int) -> tuple[DataFrame, int]:
     return joined.withColumn(POSITION, F.col("__offset") + place).drop("__place", "__part", "__offset"), int(n.sum())
 
 
+def array_shape(df: DataFrame, column: str) -> list[int]:
+    """The dimensions below the rows of an array column whose arrays all have the same; raises otherwise."""
+    kind, depth = df.schema[column].dataType, 0
+    while isinstance(kind, T.ArrayType):
+        kind, depth = kind.elementType, depth + 1
+    if depth not in (1, 2):
+        raise ValueError(BAD_RANK)
+    outer = [F.size(column)] if depth == 1 else [F.size(column), F.array_max(F.transform(column, F.size))]
+    inner = outer if depth == 1 else [outer[0], F.array_min(F.transform(column, F.size))]
+    found = df.agg(*[F.min(x).alias(f"low{i}") for i, x in enumerate(inner)], *[F.max(x).alias(f"high{i}") for i, x in enumerate(outer)], F.max(F.col(column).isNull().cast("int")).alias("none")).first()
+    if found["none"] or any(found[f"low{i}"] != found[f"high{i}"] for i in range(depth)):
+        raise ValueError(f"The arrays of '{column}' differ in size")
+    return [found[f"low{i}"] for i in range(depth)]
+
+
+#: Names of Spark's element types as NumPy's.
+DTYPES = {"float": "float32", "double": "float64", "tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "boolean": "bool"}
+
+
+def array_dtype(df: DataFrame, column: str) -> str:
+    kind = df.schema[column].dataType
+    while isinstance(kind, T.ArrayType):
+        kind = kind.elementType
+    if (name := kind.simpleString()) not in DTYPES:
+        raise bad_dtype(name)
+    return DTYPES[name]

@@ -26,6 +26,7 @@ class Manifest:
     dtypes: dict[str, str] = field(default_factory=dict)  # the columns' types as they came
     parts: list[str] = field(default_factory=list)
     vectors: list[Vector] = field(default_factory=list)
+    streams: dict[str, int] = field(default_factory=dict)  # the last batch appended by each stream
 
     def vector(self, name: str) -> Vector | None:
         return next((v for v in self.vectors if v.name == name), None)
@@ -74,6 +75,12 @@ class Store:
     def full(self, parts: list[str]) -> list[str]:
         return [f"{self.path}/{p}" for p in parts]
 
+    def listed(self) -> list[str]:
+        """All parts that are there, of any version."""
+        kinds = [f"{self.path}/{k}" for k in ("table", "vectors", "staged")]
+        found = [s.getPath() for k in kinds if self._fs.exists(self._path(k)) for s in self._fs.listStatus(self._path(k))]
+        return [f"{p.getParent().getName()}/{p.getName()}" for p in found]
+
     def drop(self, parts: list[str]) -> None:
         for p in self.full(parts):
             self._fs.delete(self._path(p), True)

@@ -9,11 +9,11 @@ from ..dataset import Dataset
 
 
 def append_stream(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """A writer that appends each micro-batch to the dataset at path; start it to run. A batch that is
-    delivered again after a failure is appended again."""
+    """A writer that appends each micro-batch to the dataset at path; start it to run. The manifest holds
+    the last batch of each checkpoint, so a batch that is delivered again after a failure changes nothing."""
 
-    def put(batch: DataFrame, _: int) -> None:
+    def put(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            Dataset(path, batch.sparkSession).append(batch)
+            Dataset(path, batch.sparkSession).append(batch, once=(checkpoint, number))
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
