@@ -41,6 +41,34 @@ def test_awkward_text(library, texts):
     check(library, texts)
 
 
+def test_long_and_colliding_words(library):
+    """Long words without a split, and two words that a polynomial modulo 2^64 takes for one."""
+    import time
+
+    doubling = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rng = random.Random(1)
+    check(library, [doubling, doubling.translate(str.maketrans("ab", "ba"))])
+    for word in ("-" * 20_000, "a" * 20_000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "日本語" * 5_000):
+        began = time.perf_counter()
+        check(library, [word])
+        assert time.perf_counter() - began < 10
+
+
+def test_arcs_are_those_of_the_library(library):
+    """The compiled table and the walk back agree with each other, and an arc is there just if the library reads both tokens so."""
+    import numpy as np
+
+    a = bpe.automaton(PATH)
+    core = np.flatnonzero(a.core >= 0)
+    rng = np.random.default_rng(0)
+    s, t = rng.choice(core, 20_000), rng.choice(core, 20_000)
+    assert np.array_equal(a.follow[a.core[s], a.core[t]], a.walked(s, t)) and 0 < a.walked(s, t).mean() < 1
+    letters = [i for i in range(50257) if (x := library.id_to_token(i)) and x.isascii() and x.isalpha()]
+    s, t = rng.choice(letters, 3_000), rng.choice(letters, 3_000)
+    want = [library.encode(library.id_to_token(x) + library.id_to_token(y), add_special_tokens=False).ids == [x, y] for x, y in zip(s.tolist(), t.tolist())]
+    assert a.arcs(s, t).tolist() == want
+
+
 def test_decoding_any_ids(library):
     a = bpe.automaton(PATH)
     rng = random.Random(0)

@@ -3,10 +3,15 @@
 Compilation walks the merges in order and applies one merge gadget for each: the gadget for (u, v)
 adds the arc uv wherever u may be read, lets it go where v went, and forbids v after u. After the
 last gadget exactly one path reads any pre-split word, and its arc labels are the tokens that the
-merges give. A state is the last token read (all that the gadgets can tell apart), so the arc (s, t)
-exists unless some gadget took it away; the gadgets are kept as arrays and the arcs are worked out
-from them when first needed and then kept in a fixed table. Words are read by table-driven
-transitions over a byte trie of the arc labels, for all distinct words of a batch at once.
+merges give. A state is the last token read, all that the gadgets can tell apart. The arcs among the
+CORE states are compiled into a table gadget by gadget; the others (2.5 billion in a vocabulary of 50,000
+tokens) follow from the same gadgets, walked back, and are kept once they are known.
+
+The labels are compiled into a deterministic automaton over bytes: its state is the longest end of what was
+read that starts a label, so each byte is one transition of a dense table and tells which labels may end
+there. The arc whose state before it allows it is the one on the path (there is exactly one, the longest
+label being the likely one), and so each place of a word gets its state. The labels are read off from the
+word's end. Short words go side by side, all distinct ones of a batch at once, long ones one by one.
 
 Definitions: a null text encodes to no ids and decodes to an empty text; special tokens written in a
 text get their own id, as in the tokenizers library; ids that the vocabulary lacks decode to nothing;
@@ -31,6 +36,8 @@ from pyspark.sql import types as T
 from . import bytesops as B
 
 _NONE = np.int32(-1)
+#: States whose arcs are compiled into a table, and words of more bytes than go side by side.
+CORE, LONG = 4096, 64
 #: The contractions that byte-level pre-splitting keeps apart.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: White_Space code points.
@@ -120,46 +127,93 @@ class Automaton:
                 self.born[w], self.left[w], self.right[w] = rank, vocab[u], vocab[v]
         pairs = gadgets[:, 0] << 20 | gadgets[:, 1]
         _, first = np.unique(pairs, return_index=True)
-        self.gadget = Table(pairs[first], first.astype(np.int32))
-        arcs = {i for i in vocab.values() if self.born[i] >= 0 or len(labels[i]) == 1}
-        self._trie([(labels[i], i) for i in sorted(arcs)])
+        self.pairs, self.ranks = pairs[first], first
+        self.gadget = Table(self.pairs, first.astype(np.int32))
+        arcs = sorted(i for i in vocab.values() if self.born[i] >= 0 or len(labels[i]) == 1)
+        self._core(arcs, gadgets)
+        self._bytes({i: labels[i] for i in arcs})
         self.known_keys = np.full(1 << 20, -1, np.int64)
         self.known = np.zeros(1 << 20, bool)
-
-    def _trie(self, arcs: list[tuple[bytes, int]]) -> None:
-        nodes, token = {b"": 0}, [-1]
-        edges: dict[int, int] = {}
-        for label, i in arcs:
+        self.kept: dict[int, bool] = {}
+
+    def _core(self, arcs: list[int], gadgets: np.ndarray) -> None:
+        """The arcs among the first CORE states, by the merge gadgets in order."""
+        states = sorted(arcs, key=lambda i: (self.born[i], i))[:CORE]
+        n = len(states)
+        self.core = np.full(len(self.born), -1, np.int64)
+        self.core[states] = np.arange(n)
+        table = np.zeros((n, n), bool)
+        old = int((self.born[states] < 0).sum())
+        table[:old, :old] = True
+        by_rank = {int(self.born[i]): i for i in states[old:]}
+        for rank, (u, v) in enumerate(self.core[gadgets].tolist()):
+            if u < 0 or v < 0:
+                continue
+            row = table[v].copy()  # where v went, before v is forbidden after u
+            table[u, v] = False
+            if rank in by_rank:
+                w = int(self.core[by_rank[rank]])
+                table[:, w] = table[:, u]
+                row[w] = row[u]
+                table[w] = row
+        self.follow = table
+
+    def _bytes(self, labels: dict[int, bytes]) -> None:
+        """The automaton over bytes: go, the transitions; best, the longest label that ends in a state; shorter, the next
+        longest label that ends where a token ends."""
+        node_of, depth, edges, token = {b"": 0}, [0], [], [-1]
+        for i, label in labels.items():
             for n in range(1, len(label) + 1):
-                if (p := label[:n]) not in nodes:
-                    nodes[p] = len(token)
-                    edges[nodes[p[:-1]] << 8 | p[-1]] = len(token)
+                if (p := label[:n]) not in node_of:
+                    node_of[p] = len(depth)
+                    edges.append((node_of[p[:-1]], p[-1], len(depth)))
+                    depth.append(n)
                     token.append(-1)
-            token[nodes[label]] = i
-        self.token = np.array(token, np.int64)
-        first = np.full(256 * 257, -1, np.int32)  # the first two transitions are a dense table
-        keys = np.fromiter(edges, np.int64, len(edges))
-        values = np.fromiter(edges.values(), np.int32, len(edges))
-        self.step = Table(keys, values)
-        self.first = first[:256]
-        self.first[[k for k in keys.tolist() if k < 256]] = [edges[k] for k in keys.tolist() if k < 256]
+            token[node_of[label]] = i
+        parent, byte, child = np.array(edges).T
+        level = np.array(depth)[child]
+        self.go = np.zeros((len(depth), 256), np.int32)
+        self.best = np.array(token, np.int32)
+        fail = np.zeros(len(depth), np.int64)
+        self.go[0, byte[level == 1]] = child[level == 1]
+        for d in range(1, max(depth) + 1):
+            p, b, c = parent[level == d], byte[level == d], child[level == d]
+            if d > 1:
+                fail[c] = self.go[fail[p], b]
+            self.go[c] = self.go[fail[c]]
+            own = (level == d + 1) & np.isin(parent, c)
+            self.go[parent[own], byte[own]] = child[own]
+            self.best[c] = np.where(self.best[c] < 0, self.best[fail[c]], self.best[c])
+        self.shorter = np.full(len(self.born), -1, np.int32)
+        last = np.array([node_of[label] for label in labels.values()])
+        self.shorter[list(labels)] = self.best[fail[last]]
+        self.size = np.append(np.diff(self.label_at), 0).astype(np.int64)
+        self.plain = memoryview(self.go.reshape(-1)), self.best.tolist(), self.shorter.tolist(), self.size.tolist()
+        self.plain_gadgets = dict(zip(self.pairs.tolist(), self.ranks.tolist())), self.born.tolist(), self.left.tolist(), self.right.tolist()
 
     def arcs(self, s: np.ndarray, t: np.ndarray) -> np.ndarray:
         """Whether token t may follow token s."""
-        key = s << 20 | t
-        at = (key.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) >> np.uint64(44)).astype(np.int64)
-        out = self.known[at]
-        if len(new := np.flatnonzero(self.known_keys[at] != key)):
-            keys, back = np.unique(key[new], return_inverse=True)
-            found = self._arcs(keys >> 20, keys & 0xFFFFF)
-            out[new] = found[back]
-            at = at[new]
-            self.known_keys[at] = key[new]
-            ok = self.known_keys[at] == key[new]
-            self.known[at[ok]] = out[new][ok]
+        out = s == self.start
+        a, b = self.core[s], self.core[t]
+        core = (a >= 0) & (b >= 0)
+        out[core] = self.follow[a[core], b[core]]
+        rest = np.flatnonzero(~core & ~out)
+        if len(rest):
+            key = s[rest] << 20 | t[rest]
+            at = (key.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) >> np.uint64(44)).astype(np.int64)
+            found = self.known[at]
+            if len(new := np.flatnonzero(self.known_keys[at] != key)):
+                keys, back = np.unique(key[new], return_inverse=True)
+                made = self.walked(keys >> 20, keys & 0xFFFFF)
+                found[new] = made[back]
+                at = at[new]
+                self.known_keys[at] = key[new]
+                ok = self.known_keys[at] == key[new]
+                self.known[at[ok]] = found[new][ok]
+            out[rest] = found
         return out
 
-    def _arcs(self, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    def walked(self, s: np.ndarray, t: np.ndarray) -> np.ndarray:
         """Walks back through the gadgets: a newer token's state began as a copy of its right part's, and a
         newer token's arc was added wherever its left part's arc then was."""
         out = np.ones(len(s), bool)
@@ -182,45 +236,87 @@ class Automaton:
             left = left[go]
         return out
 
-    def encode_words(self, data: np.ndarray, at: np.ndarray, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    def _one(self, s: int, t: int) -> bool:
+        """As walked(), of one arc."""
+        gadgets, born, left, right = self.plain_gadgets
+        until = 1 << 40
+        while True:
+            rank = gadgets.get(s << 20 | t)
+            if rank is not None and rank <= until:
+                return False
+            if born[s] < 0 and born[t] < 0:
+                return True
+            if born[s] > born[t]:
+                until, s = born[s] - 1, right[s]
+            else:
+                until, t = born[t], left[t]
+
+    def _side_by_side(self, data: np.ndarray, at: np.ndarray, length: np.ndarray, base: np.ndarray, last: np.ndarray) -> None:
+        """Fills in the states of many words. at: where they start in data; base: where in last."""
+        order = np.argsort(-length, kind="stable")
+        at, base, size = at[order], base[order], -length[order]
+        node = np.zeros(len(at), np.int64)
+        for i in range(int(length.max(initial=0))):
+            n = int(np.searchsorted(size, -i, "left"))  # words longer than i
+            node = self.go[node[:n], data[at[:n] + i]]
+            t = self.best[node].astype(np.int64)
+            here = base[:n] + i + 1
+            left = np.flatnonzero(~self.arcs(last[here - self.size[t]], t))
+            while len(left):
+                t[left] = self.shorter[t[left]]
+                left = left[~self.arcs(last[here[left] - self.size[t[left]]], t[left])]
+            last[here] = t
+
+    def _alone(self, word: bytes) -> list[int]:
+        """The states at each place of one word."""
+        go, best, shorter, size = self.plain
+        last, node, kept, start = [self.start], 0, self.kept, self.start
+        if len(kept) > 1 << 20:
+            kept.clear()
+        for i, byte in enumerate(word, 1):
+            node = go[node << 8 | byte]
+            t = best[node]
+            while (s := last[i - size[t]]) != start:
+                key = s << 20 | t
+                ok = kept.get(key)
+                if ok is None:
+                    kept[key] = ok = self._one(s, t)
+                if ok:
+                    break
+                t = shorter[t]
+            last.append(t)
+        return last
+
+    def encode_words(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row and the n + 1 offsets. at: the words' offsets in data."""
         n, length = len(at) - 1, np.diff(at)
         base = at[:-1] + np.arange(n)  # of each word's len + 1 states
-        last = np.full(len(data) + n, -1, np.int64)
-        last[base] = self.start
-        order = np.argsort(-length, kind="stable")
-        sorted_length = -length[order]
-        longest = int(length.max(initial=0))
-        for i in range(longest):
-            w = order[: np.searchsorted(sorted_length, -i, "left")]  # words longer than i
-            state, node = last[base[w] + i], None
-            for j in range(i, longest):
-                byte = data[at[w] + j]
-                node = self.first[byte] if j == i else self.step.get(node.astype(np.int64) << 8 | byte)
-                on = np.flatnonzero(node >= 0)
-                w, state, node = w[on], state[on], node[on]
-                if not len(w):
-                    break
-                t = self.token[node]
-                arc = np.flatnonzero(t >= 0)
-                ok = arc[self.arcs(state[arc], t[arc])]
-                last[base[w[ok]] + j + 1] = t[ok]
-                on = np.flatnonzero(length[w] > j + 1)
-                w, state, node = w[on], state[on], node[on]
-                if not len(w):
-                    break
+        last = np.full(len(data) + n, self.start, np.int64)
+        short = np.flatnonzero(length <= LONG)
+        self._side_by_side(data, at[short], length[short], base[short], last)
+        for w in np.flatnonzero(length > LONG).tolist():
+            last[base[w] : base[w] + length[w] + 1] = self._alone(data[at[w] : at[w + 1]].tobytes())
         # Back along the one path of each word.
-        size, here, ids, owner = np.diff(self.label_at), length.copy(), [], []
-        left = np.flatnonzero(here > 0)
+        here, ids, owner = length.copy(), [], []
+        left = np.flatnonzero((here > 0) & (length <= LONG))
         while len(left):
             t = last[base[left] + here[left]]
             ids.append(t)
             owner.append(left)
-            here[left] -= size[t]
+            here[left] -= self.size[t]
             left = left[here[left] > 0]
+        size = self.plain[3]
+        for w in np.flatnonzero(length > LONG).tolist():
+            states, i, own = last[base[w] : base[w] + length[w] + 1].tolist(), int(length[w]), []
+            while i:
+                own.append(states[i])
+                i -= size[states[i]]
+            ids.append(np.array(own))
+            owner.append(np.full(len(own), w))
         if not ids:
             return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
-        all_ids, all_owner = np.concatenate(ids[::-1]), np.concatenate(owner[::-1])
+        # Of each word the last label came first.
+        all_ids, all_owner = np.concatenate([x[::-1] for x in ids[::-1]]), np.concatenate([x[::-1] for x in owner[::-1]])
         by = np.argsort(all_owner, kind="stable")
         to = np.zeros(n + 1, np.int64)
         np.cumsum(np.bincount(all_owner, minlength=n), out=to[1:])
@@ -249,9 +345,11 @@ class Automaton:
         byte_at = np.zeros(len(code) + 1, np.int64)
         np.cumsum(width, out=byte_at[1:])
         word_at = byte_at[starts]  # with the end of all as the last
-        sums = B.prefix(data)
-        hashes = B.span_hash(sums, word_at[:-1], word_at[1:])
-        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        size = np.diff(word_at)
+        _, first, back = np.unique(B.unit_hash(data, word_at[:-1], word_at[1:]), return_index=True, return_inverse=True)
+        # Words with one hash are compared with each other, as the words cover all of data.
+        if not (np.array_equal(size[first[back]], size) and np.array_equal(B.gather(data, word_at[first[back]], size)[0], data)):
+            first = back = np.arange(len(size))
         own, own_at = B.gather(data, word_at[:-1][first], np.diff(word_at)[first])
         ids, to = self.encode_words(own, own_at)
         count = np.diff(to)
