@@ -1,10 +1,12 @@
 import hashlib
+import os
 import random
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veclode.llm import lines, queries, suffixes
 
@@ -125,7 +127,7 @@ def test_suffixes_across_many_buckets(spark, monkeypatch):
     passage = some(230)
     texts = [some(rng.randint(0, 150)) + passage + some(rng.randint(0, 150)) for _ in range(100)]
     plain = suffixes.repeated_bytes
-    monkeypatch.setattr(suffixes, "repeated_bytes", lambda df, text, length: plain(df, text, length, bucket_bytes=3000))
+    monkeypatch.setattr(suffixes, "repeated_bytes", lambda rows, length: plain(rows, length, bucket_bytes=3000))
     assert run_suffixes(spark, texts) == brute_bytes(texts, 200)
 
 
@@ -140,6 +142,65 @@ def test_suffix_query_and_rows(spark, sf):
     assert suffixes.suffix_dedup(df.where("false")).collect() == []
 
 
+def test_columns_of_any_name(spark, sf):
+    """Names with dots, backticks and leading underscores pass through every operator that keeps columns."""
+    import public_tokenizers
+
+    from veclode.llm import audio, bpe, decontaminate, toxicity
+
+    df = spark.createDataFrame([(1, "a b c d e f", 7, 8, 9, 10)] * 2, ["doc_id", "text", "a.b", "__id", "c`d", "units"])
+    items = spark.createDataFrame([(1, "x y z w")], "item_id long, text string")
+    runs = [
+        lambda d: lines.substring_dedup(d), lambda d: lines.line_dedup(d, min_words=3), lambda d: decontaminate.decontaminate(d, items), lambda d: audio.decode_media(audio.encode_media(d)),
+        lambda d: bpe.round_trip(d, public_tokenizers.path("byte_bpe_50k.json")), lambda d: toxicity.score(d, toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), None, None, 0.5)), lambda d: toxicity.with_features(d, np.zeros(0, np.uint64), np.zeros(0)),
+    ]
+    for run in runs:
+        assert {tuple(r[c] for c in ("a.b", "__id", "c`d", "units")) for r in run(df).collect()} == {(7, 8, 9, 10)}
+
+
+@pytest.mark.parametrize("cut", ["parallelize", "repartition", "join", "union"])
+def test_suffixes_of_any_input(spark, sf, tmp_path, cut):
+    """Inputs whose rows come in another order or other partitions each time they are read, with more columns."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60").select("doc_id", "text", F.lit("x").alias("a.b"), F.lit(1).alias("__row"), F.repeat(F.lit("wide"), F.lit(50)).alias("row"))
+    if cut == "parallelize":
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(docs.collect(), 7), docs.schema)
+    elif cut == "repartition":
+        docs = docs.repartition(5, "row").repartition(3)
+    elif cut == "join":
+        docs = docs.join(spark.range(60).withColumnRenamed("id", "doc_id"), "doc_id")
+    else:
+        docs = docs.where("doc_id % 2 = 0").unionByName(docs.where("doc_id % 2 = 1"))
+    texts = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    want = {i: b for (i, _), b in zip(texts, brute_bytes([t for _, t in texts], 200))}
+    out = suffixes.suffix_dedup(docs)
+    assert out.columns == ["doc_id", "a.b", "__row", "row", "kept", "n_bytes", "n_removed", "removed"]
+    got = out.collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.removed), bytes(r.kept)) for r in got} == want and len(got) == len(want)
+    assert {(r["a.b"], r["__row"], r["row"]) for r in got} == {("x", 1, "wide" * 50)}
+
+
+def test_suffixes_of_colliding_strings(spark):
+    """Two strings that a polynomial modulo 2^64 takes for one, as passages, lines, words and copies."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    texts = [one, two, "x" + two]
+    assert run_suffixes(spark, texts) == brute_bytes(texts, 200)
+    rows = spark.createDataFrame([(1, f"{one} a b c d e f g h"), (2, f"{two} a b c d e f g h")], "doc_id long, text string")
+    for dedup in (lines.line_dedup, lines.substring_dedup):
+        assert [r.n_removed for r in dedup(rows, min_words=5).collect()] == [0, 0]
+
+
+def test_sorted_prefixes():
+    rng = random.Random(1)
+    raw = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 20))) for _ in range(200)] + [b"ab" * 12] * 3
+    parts = np.zeros((len(raw), 24), np.uint8)
+    for i, x in enumerate(raw):
+        parts[i, : len(x)] = list(x)
+    order, shared = suffixes.sorted_prefixes(parts, np.array([len(x) for x in raw]))
+    assert [raw[i] for i in order] == sorted(raw)
+    assert shared.tolist() == [0] + [len(os.path.commonprefix([raw[i], raw[j]])) for i, j in zip(order, order[1:])]
+
+
 def test_multikey_order():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 500):

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import bytesops as B
+from .store import map_in_arrow
 
 UNIT, BLOCK, RATE, TARGET = 576, 288, 8000, 16000
 ALAW, MULAW, ADPCM = 6, 7, 17  # WAV format tags
@@ -147,7 +148,7 @@ def encode_media(df: DataFrame, text: str = "text", codec: str = "mixed") -> Dat
                 files.append(wav(tags[zlib.crc32(payload) % len(tags)], payload))
             yield _out(batch, names, [pa.array(np.diff(at), pa.int64()), pa.array(files, pa.binary())])
 
-    return df.mapInArrow(run, schema)
+    return map_in_arrow(df, run, schema)
 
 
 def _decode(files: list[bytes | None]) -> list[tuple[bytes, int, np.ndarray] | None]:
@@ -187,4 +188,4 @@ def decode_media(df: DataFrame, media: str = "media", pcm: bool = False) -> Data
                 arrays.append(pa.array([pcm_wav(s) if x else None for x, s in zip(found, sound)], pa.binary()))
             yield _out(batch, names, arrays)
 
-    return df.mapInArrow(run, schema)
+    return map_in_arrow(df, run, schema)

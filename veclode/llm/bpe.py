@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import bytesops as B
+from .store import map_in_arrow
 
 _NONE = np.int32(-1)
 #: States whose arcs are compiled into a table, and words of more bytes than go side by side.
@@ -479,7 +480,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, text: str, decode: boo
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """df with ids: the token ids of each whole text."""
-    return df.mapInArrow(lambda it: _encode(it, path, text, False), _with(df.schema, ("ids",), [_IDS]))
+    return map_in_arrow(df, lambda it: _encode(it, path, text, False), _with(df.schema, ("ids",), [_IDS]))
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
@@ -494,9 +495,9 @@ def decode(df: DataFrame, path: str) -> DataFrame:
             columns, names = _keep(batch, ("decoded",))
             yield pa.RecordBatch.from_arrays([*columns, _texts(*a.decode(ids, at))], names=[*names, "decoded"])
 
-    return df.mapInArrow(run, _with(df.schema, ("decoded",), [_DECODED]))
+    return map_in_arrow(df, run, _with(df.schema, ("decoded",), [_DECODED]))
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """df with ids and decoded, in one pass through Python."""
-    return df.mapInArrow(lambda it: _encode(it, path, text, True), _with(df.schema, ("ids", "decoded"), [_IDS, _DECODED]))
+    return map_in_arrow(df, lambda it: _encode(it, path, text, True), _with(df.schema, ("ids", "decoded"), [_IDS, _DECODED]))

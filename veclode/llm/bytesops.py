@@ -20,12 +20,12 @@ _SEP[[32, *range(9, 14)]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], column: str | int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text (a longer single text has its own batch)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column) if isinstance(column, str) else column)), 0)
         group = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64)) // most
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytesops as B
+from .store import map_in_arrow
 from .toxicity import lower
 
 _APART = np.ones(256, bool)
@@ -180,5 +181,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                     old = pa.array([x + found.get(i, []) for i, x in enumerate(old.to_pylist())], arrow)
                 yield pa.RecordBatch.from_arrays([old if j == at else c for j, c in enumerate(batch.columns)], names=batch.schema.names)
 
-        out = out.mapInArrow(run, out.schema)
+        out = map_in_arrow(out, run, out.schema)
     return out

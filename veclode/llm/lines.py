@@ -17,34 +17,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytesops as B
-from .store import written
+from .store import map_in_arrow, quoted, written
 
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
-_OTHER = 0xD6E8FEB86659FD93
 
 
 def _text(text: str) -> F.Column:
-    return F.coalesce(F.col(text), F.lit(""))
+    return F.coalesce(F.col(quoted(text)), F.lit(""))
 
 
 def _without(df: DataFrame, removed: DataFrame, id: str, text: str, separator: str) -> DataFrame:
     """df with n_units, n_removed, removed_spans (start and length of each removed unit in the original, in
     code points) and text without them. removed: __id, __key, units array<int>."""
-    keyed = df.select(*[c for c in df.columns if c.lower() not in ("n_units", "n_removed", "removed_spans")], F.col(id).alias("__id"), F.xxhash64(_text(text)).alias("__key"))
-    joined = keyed.alias("d").join(removed.alias("r"), F.col("d.__id").eqNullSafe(F.col("r.__id")) & (F.col("d.__key") == F.col("r.__key")), "left")
-    kept = [c for c in keyed.columns if not c.startswith("__")]
-    joined = joined.select(*[F.col(f"d.`{c}`") for c in kept], F.col("units").alias("__units"))
-    out = joined.drop("__units").withColumns({"n_units": F.lit(0), "n_removed": F.lit(0), "removed_spans": F.lit(None).cast("array<struct<start:int,length:int>>")}).schema
+    kept = [c for c in df.columns if c.lower() not in ("n_units", "n_removed", "removed_spans")]
+    keyed = df.select(F.struct(*map(quoted, kept)).alias("row"), F.col(quoted(id)).alias("id"), F.xxhash64(_text(text)).alias("key"))
+    joined = keyed.join(removed, keyed["id"].eqNullSafe(removed["__id"]) & (keyed["key"] == removed["__key"]), "left").select("row.*", "units")
+    out = T.StructType([df.schema[c] for c in kept] + T._parse_datatype_string("n_units int, n_removed int, removed_spans array<struct<start:int,length:int>>").fields)
     spans = out["removed_spans"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        for batch in B.pieces(batches, text, 2 << 20):
+        at_text = kept.index(text)
+        for batch in B.pieces(batches, at_text, 2 << 20):
             texts, counts, gone, found = [], [], [], []
-            for x, units in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index("__units")).to_pylist()):
+            for x, units in zip(batch.column(at_text).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 parts = (x or "").split(separator)
                 drop = set(units or ())
                 at, cut = 0, []
@@ -58,12 +58,12 @@ def _without(df: DataFrame, removed: DataFrame, id: str, text: str, separator: s
                 counts.append(len(parts))
                 gone.append(len(drop))
                 found.append(cut)
-            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in kept}
+            columns = dict(zip(kept, batch.columns))
             columns[text] = pa.array(texts, pa.string())
             columns |= {"n_units": pa.array(counts, pa.int32()), "n_removed": pa.array(gone, pa.int32()), "removed_spans": pa.array(found, to_arrow_type(spans))}
             yield pa.RecordBatch.from_arrays([columns[f.name] for f in out.fields], names=[f.name for f in out.fields])
 
-    return joined.mapInArrow(run, out)
+    return map_in_arrow(joined, run, out)
 
 
 def substring_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = 5) -> DataFrame:
@@ -71,12 +71,13 @@ def substring_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", unit:
     space runs as one space, trimmed - stood at an earlier (id, unit) position. Returns df with the new text,
     n_units, n_removed and removed_spans."""
     separator = SEPARATORS[unit]
-    units = df.select(F.col(id).alias("__id"), F.xxhash64(_text(text)).alias("__key"), F.posexplode(F.split(_text(text), separator)).alias("__unit", "__line"))
+    units = df.select(F.col(quoted(id)).alias("__id"), F.xxhash64(_text(text)).alias("__key"), F.posexplode(F.split(_text(text), separator)).alias("__unit", "__line"))
     normal = F.trim(F.regexp_replace(F.lower("__line"), r"[ \t\n\u000B\f\r]+", " "))
     units = units.select("__id", "__key", "__unit", normal.alias("__line")).where(F.length("__line") - F.length(F.replace("__line", F.lit(" "), F.lit(""))) + 1 >= min_words)
     units = units.select("__id", "__key", "__unit", F.unhex(F.md5("__line")).alias("__digest"))
-    first = units.groupBy("__digest").agg(F.min(F.struct("__id", "__unit")).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
-    later = units.join(first, "__digest").where(~F.struct("__id", "__unit").eqNullSafe(F.col("__first")))
+    first = units.groupBy("__digest").agg(F.min(F.struct("__id", "__unit")).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    # Written first, they are an input of their own and a hot line's rows can be split in the join.
+    later = units.join(written(first), "__digest").where(~F.struct("__id", "__unit").eqNullSafe(F.col("__first")))
     removed = later.groupBy("__id", "__key").agg(F.collect_set("__unit").alias("units"))
     return _without(df, removed, id, text, separator)
 
@@ -124,7 +125,7 @@ def repeated_lines(df: DataFrame, id: str = "doc_id", text: str = "text", min_wo
     is the suffix's LCP interval of depth m. A line lies in a repeated run of enough words just if it lies in
     one of the shortest such runs from or to some line, so only those depths are looked up.
     """
-    key = df.select(F.col(id).alias("__id"), F.xxhash64(_text(text)).alias("__key"), _text(text).alias("__text"))
+    key = df.select(F.col(quoted(id)).alias("__id"), F.xxhash64(_text(text)).alias("__key"), _text(text).alias("__text"))
     id_type = df.schema[id].dataType.simpleString()
     lines = key.mapInArrow(lambda it: _lines(it, min_words), f"__id {id_type}, __key long, line int, a long, b long, forward int, backward int")
     lines = lines.withColumn("__id", F.struct(F.col("__id").alias("id")))  # never null, so that null ids meet in joins

@@ -6,10 +6,12 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.errors import AnalysisException
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def folder(spark: SparkSession) -> str:
@@ -26,39 +28,42 @@ def folder(spark: SparkSession) -> str:
     return f"{top}/tables/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: str) -> DataFrame:
     """df, written as a table and read again: its lineage ends here and lost executors cost no recomputation."""
     path = folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, row: str) -> DataFrame:
+    """df with a number for each row, written once: whatever is made of it later sees the same numbers, although another
+    run of df may give its rows in another order or cut them otherwise."""
+    return written(df.withColumn(row, F.monotonically_increasing_id()), compression="zstd")
+
+
+def quoted(name: str) -> str:
+    """A column's name for Spark's functions, which read dots and backticks."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column has it."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of finished steps now: it learns of them by garbage collection."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def numbered(df: DataFrame, row: str = "__row") -> DataFrame:
-    """df with a number for each row that is the same each time df is computed, however its files are split:
-    the file's place in the order of paths and the row's place in the file. Anything but a plain scan of
-    distinct Parquet files is written first."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    names = {plan.nodeName(), *(line.strip(" :+-").split(" ")[0] for line in plan.toString().splitlines())}
-    if not names <= {"Relation", "Project", "Filter", "LogicalRelation", ""} or not _rows_have_places(df, plan):
-        df = written(df)
-    path = F.col("_metadata.file_path").alias("__path")
-    paths = sorted(r[0] for r in df.select(path).distinct().collect())  # one for each file
-    files = df.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), "__path string, __file long")
-    placed = df.select("*", path, F.col("_metadata.row_index").alias("__index")).join(F.broadcast(files), "__path")
-    return placed.select(*df.columns, (F.shiftleft("__file", 40) + F.col("__index")).alias(row))
-
-
-def _rows_have_places(df: DataFrame, plan) -> bool:
-    """Whether a scan's rows know their places in their files and no file is read twice."""
-    try:
-        df.select("_metadata.row_index").schema
-    except AnalysisException:
-        return False
-    files = list(plan.collectLeaves().head().relation().location().inputFiles())
-    return len(files) == len(set(files))
+def map_in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any name, which Spark's own looks up by their names."""
+    names = df.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(named, schema)

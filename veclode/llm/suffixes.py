@@ -5,23 +5,23 @@ at such anchors: one scan finds each text's anchors, the run of string starts th
 of all bytes those strings cover. Then
 
 1. anchors whose k-gram occurs once in the corpus serve no repeated string and go;
-2. anchors that agree in all bytes covered (copies) need no comparison: all their strings repeat;
-3. what is left are the edges of repeats, one anchor for each set of equal ones in 2, with the bytes its
-   strings cover. Sampled splitters range-partition them by the leading tokens of the suffix that starts at
-   the anchor. Each bucket cuts the suffixes that start at the anchors' strings to `length` bytes and sorts
-   them by multikey quicksort over their tokens: eight raw bytes, then two 64-bit hashes of the whole
-   string. Neighbours that agree in all tokens repeat each other.
+2. anchors that agree in all bytes covered (copies, however many) stand for each other: all their strings repeat;
+3. of each such set one anchor goes on, with the bytes its strings cover. Sampled splitters range-partition them by
+   the leading tokens of the suffix that starts at the anchor. Each bucket sorts these suffixes, and what stands
+   left of the anchors, read backwards, by multikey quicksort over tokens of eight raw bytes, and takes the common
+   prefixes of neighbours. A string that starts d bytes left of its anchor repeats just if another anchor lies in the
+   same interval of prefixes of at least length - d bytes and in the same one of d bytes to the left.
 4. Anchors of a bucket's first and last k-gram may have equals beyond the boundary. How far such an anchor
    agrees with a neighbour to the right is known from the order; a second pass of the same kind orders them by
    what stands to the left. Only strings that reach no farther on either side can repeat; one of each
-   kind in a bucket is compared across all boundaries by its tokens.
+   kind in a bucket is compared across all boundaries by a 128-bit digest.
 
-Strings are judged on the input; matches never cross texts. Only equality of the cut suffixes decides, so
-their order beyond the first eight bytes is that of the hashes.
+Strings are judged on the input; matches never cross texts. Rows are numbered once, in a written table that all steps
+read.
 
 Definitions: a null text is empty; texts shorter than `length` lose nothing; a text may repeat itself, and
-overlapping strings count; repeated rows are copies of each other; an empty table gives an empty table; other
-columns pass through and columns named like an output are replaced.
+overlapping strings count; repeated rows are copies of each other; an empty table gives an empty table; all
+columns but the text pass through, and those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -33,12 +33,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytesops as B
-from .store import numbered, release, written
+from .store import map_in_arrow, numbered, quoted, release, unused, written
 
 GRAM = 50
-_OTHER = 0xD6E8FEB86659FD93
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -68,8 +68,8 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int = GRAM) ->
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
     p, s, e = anchor[first], start[first], start[last]
-    covered = B.mix(B.span_hash(sums, s, e + length) + (p - s).astype(np.uint64))
-    return doc[first], p, s, e, B.span_hash(sums, p, p + gram), covered
+    covered = B.mix(B.unit_hash(data, s, e + length) + (p - s).astype(np.uint64))
+    return doc[first], p, s, e, B.unit_hash(data, p, p + gram, 1), covered
 
 
 def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
@@ -160,9 +160,53 @@ def _reach(gram: np.ndarray, lead: np.ndarray, side: list[bytes]) -> tuple[np.nd
     return np.array(at, np.int64), reach
 
 
+def sorted_prefixes(parts: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of byte strings (rows, zeros behind their length) by multikey quicksort over tokens of eight bytes, and
+    how many bytes each shares with the one before it in that order (0 for the first)."""
+    order = multikey_order(list(parts.view(">u8").astype(np.uint64).T))
+    inside = parts[order]
+    differ = inside[1:] != inside[:-1]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), parts.shape[1])
+    return order, np.concatenate([[0], np.minimum(shared, np.minimum(length[order][1:], length[order][:-1]))])
+
+
+def _side(data: np.ndarray, start: np.ndarray, length: np.ndarray, most: int, step: int) -> np.ndarray:
+    """A row for each start: the bytes from there on, forwards or backwards, with zeros behind the length."""
+    k = np.arange(-(-most // 8) * 8)
+    at = np.clip(start[:, None] + step * k, 0, max(len(data) - 1, 0))
+    return np.where(k < length[:, None], data[at], 0).astype(np.uint8)
+
+
+def _repeats(data: np.ndarray, at: np.ndarray, to_anchor: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of the strings that start from low to high bytes left of their anchors: anchor and distance of those that repeat
+    another, and of one of each kind."""
+    right_length, n = np.diff(at) - to_anchor, len(to_anchor)
+    right, right_shared = sorted_prefixes(_side(data, at[:-1] + to_anchor, np.minimum(right_length, length), length, 1), right_length)
+    left, left_shared = sorted_prefixes(_side(data, at[:-1] + to_anchor - 1, to_anchor, max(int(to_anchor.max(initial=1)), 1), -1), to_anchor)
+    interval = np.empty((2, n), np.int64)
+    found, kinds = [], []
+    for d in range(int(low.min(initial=0)), int(high.max(initial=-1)) + 1):
+        on = np.flatnonzero((low <= d) & (d <= high))
+        if not len(on):
+            continue
+        interval[0, right] = np.cumsum(right_shared < length - d)
+        interval[1, left] = np.cumsum(left_shared < d) if d else 0
+        key = interval[0, on] << 32 | interval[1, on]
+        order = np.argsort(key, kind="stable")
+        key, on = key[order], on[order]
+        new = np.append(True, key[1:] != key[:-1])
+        again = ~new
+        again[:-1] |= ~new[1:]
+        found.append((on[again], np.full(int(again.sum()), d)))
+        kinds.append((on[new], np.full(int(new.sum()), d)))
+    none = np.zeros(0, np.int64)
+    joined = lambda parts: [np.concatenate([none, *(p[k] for p in parts)]) for k in (0, 1)]
+    return *joined(found), *joined(kinds)
+
+
 def _bucket(batches: Iterator[pa.RecordBatch], length: int, last: bool) -> Iterator[pa.RecordBatch]:
     """Sorts one bucket's suffixes. Rows with end: covered runs. Rows with body: the anchors whose strings are compared
-    beyond the bucket, with their reach to the right; in the last pass instead rows with tokens t0, t1, t2: one for each
+    beyond the bucket, with their reach to the right; in the last pass instead rows with a digest t0, t1: one for each
     kind of string that stays within its anchor's reach."""
     batches = list(batches)
     table = pa.Table.from_batches(batches) if batches else None
@@ -171,37 +215,23 @@ def _bucket(batches: Iterator[pa.RecordBatch], length: int, last: bool) -> Itera
     data, at = B.utf8(table.column("body"))
     gram, row, place, lead = (table.column(c).to_numpy() for c in ("gram", "row", "place", "lead"))
     edge, reach = _reach(gram, lead, table.column("side").to_pylist())
-    n = np.diff(at) - length + 1
-    own = np.repeat(np.arange(len(n)), n)
-    begin = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    to_anchor = place >> 8 & 255
+    low, high = to_anchor - (np.diff(at) - length), to_anchor
     if last:  # only strings within the reach of their anchor, on both sides
-        left = np.full(len(n), length)
+        left = np.full(len(row), length)
         left[edge] = reach
-        to_anchor = (place[own] >> 8 & 255) - begin
-        on = np.flatnonzero((to_anchor <= left[own]) & (length - to_anchor - GRAM <= table.column("reach").to_numpy()[own]))
-        own, begin = own[on], begin[on]
-    s = at[:-1][own] + begin
-    wide = np.zeros(len(data) + 8, np.uint64)
-    wide[: len(data)] = data
-    t0 = wide[s]
-    for k in range(1, 8):
-        t0 = t0 << np.uint64(8) | wide[s + k]
-    t1 = B.span_hash(B.prefix(data), s, s + length)
-    t2 = B.span_hash(B.prefix(data, _OTHER), s, s + length, _OTHER)
-    order = multikey_order([t0, t1, t2])
-    same = (t0[order][1:] == t0[order][:-1]) & (t1[order][1:] == t1[order][:-1]) & (t2[order][1:] == t2[order][:-1])
-    repeated = np.zeros(len(order), bool)
-    repeated[order[1:][same]] = True
-    repeated[order[:-1][same]] = True
-    start = (place[own] >> 16) + begin
-    r, a, b = _runs(row[own[repeated]], start[repeated], length)
-    schema = pa.schema([("row", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), *([(f"t{i}", pa.int64()) for i in range(3)] if last else [(c, table.schema.field(c).type) for c in ("lead", "gram", "side", "place", "body")] + [("reach", pa.int64())])])
+        low, high = np.maximum(low, length - GRAM - table.column("reach").to_numpy()), np.minimum(high, left)
+    own, distance, one, one_distance = _repeats(data, at, to_anchor, low, high, length)
+    r, a, b = _runs(row[own], (place[own] >> 16) + to_anchor[own] - distance, length)
+    schema = pa.schema([("row", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), *([(f"t{i}", pa.int64()) for i in range(2)] if last else [(c, table.schema.field(c).type) for c in ("lead", "gram", "side", "place", "body")] + [("reach", pa.int64())])])
     none = lambda k, names: [pa.nulls(k, schema.field(c).type) for c in names]
     yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(a), pa.array(b), *none(len(r), schema.names[3:])], schema=schema)
     if last:
-        one = order[np.concatenate([[True], ~same])] if len(order) else order
-        one = one[np.isin(own[one], edge)]  # other k-grams are in this bucket only
-        yield pa.RecordBatch.from_arrays([pa.array(row[own[one]]), pa.array(start[one]), *none(len(one), ["end"]), *(pa.array(t[one].view(np.int64)) for t in (t0, t1, t2))], schema=schema)
+        on = np.isin(one, edge)  # other k-grams are in this bucket only
+        one, begin = one[on], (to_anchor[one] - one_distance)[on]
+        start = at[:-1][one] + begin
+        digest = [pa.array(B.unit_hash(data, start, start + length, k).view(np.int64)) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(row[one]), pa.array((place[one] >> 16) + begin), *none(len(one), ["end"]), *digest], schema=schema)
         return
     # For the second pass: what stands left of the anchor, from there backwards.
     body = table.column("body").take(pa.array(edge)).to_pylist()
@@ -209,12 +239,12 @@ def _bucket(batches: Iterator[pa.RecordBatch], length: int, last: bool) -> Itera
     yield pa.RecordBatch.from_arrays([pa.array(row[edge]), *none(len(edge), ["start", "end"]), pa.array(lead[edge]), pa.array(gram[edge]), pa.array(side, pa.binary()), pa.array(place[edge]), pa.array(body, pa.binary()), pa.array(reach)], schema=schema)
 
 
-def repeated_bytes(df: DataFrame, text: str = "text", length: int = 200, bucket_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
-    """(rows, runs): df's texts as row, text binary; and row, start, end of runs of repeated bytes (they may overlap)."""
+def repeated_bytes(rows: DataFrame, length: int = 200, bucket_bytes: int = 2 << 20) -> DataFrame:
+    """row, start and end of runs of repeated bytes (they may overlap). rows: row long and text binary, a written table."""
     if not 100 <= length <= 300:
         raise ValueError("length must be from 100 to 300 bytes")
-    spark = df.sparkSession
-    rows = numbered(df.select(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text")), "row").select("text", "row")
+    spark = rows.sparkSession
+    rows = rows.select("text", "row")
     once = rows.select("text").mapInArrow(lambda it: _anchor_rows(it, length, True), "gram long")
     grams = written(once.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     release(spark)
@@ -222,10 +252,10 @@ def repeated_bytes(df: DataFrame, text: str = "text", length: int = 200, bucket_
     found = written(every.join(grams, "gram"))
     release(spark)
     sets = written(found.groupBy("gram", "covered").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")))
-    whole = found.join(sets.where("n > 1").select("gram", "covered"), ["gram", "covered"])
+    # Written first, the sets are an input of their own and a hot set's anchors can be split in the join.
+    whole = found.join(written(sets.where("n > 1").select("gram", "covered")), ["gram", "covered"])
     start, last = F.shiftright("place", 16), F.col("place").bitwiseAND(255)
-    copies = whole.select("row", start.alias("start"), (start + last + length).alias("end"))
-    copies = written(copies)
+    copies = written(whole.select("row", start.alias("start"), (start + last + length).alias("end")))
     release(spark)
     several = written(sets.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     edges = sets.join(several, "gram").select("one.row", F.struct("gram", "one.place").alias("edge"))
@@ -242,28 +272,33 @@ def repeated_bytes(df: DataFrame, text: str = "text", length: int = 200, bucket_
     inner = written(dealt(listed).mapInArrow(lambda it: _bucket(it, length, False), "row long, start long, end long, lead long, gram long, side binary, place long, body binary, reach long"))
     edge = inner.where("end IS NULL")
     beyond = dealt(written(edge.drop("start", "end")))
-    outer = written(beyond.mapInArrow(lambda it: _bucket(it, length, True), "row long, start long, end long, t0 long, t1 long, t2 long"))
-    boundary, tokens = outer.where("end IS NULL"), ["t0", "t1", "t2"]
-    again = boundary.groupBy(*tokens).agg(F.count("*").alias("n")).where("n > 1").select(*tokens)
+    outer = written(beyond.mapInArrow(lambda it: _bucket(it, length, True), "row long, start long, end long, t0 long, t1 long"))
+    boundary, tokens = outer.where("end IS NULL"), ["t0", "t1"]
+    again = written(boundary.groupBy(*tokens).agg(F.count("*").alias("n")).where("n > 1").select(*tokens))
     across = boundary.join(again, tokens).select("row", "start", (F.col("start") + length).alias("end"))
     covered = [x.where("end IS NOT NULL").select("row", "start", "end") for x in (inner, outer)]
-    runs = copies.unionByName(covered[0]).unionByName(covered[1]).unionByName(across)
-    return rows, runs
+    return copies.unionByName(covered[0]).unionByName(covered[1]).unionByName(across)
 
 
-def suffix_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
-    """One row for each row of df: id, kept binary (the remaining bytes), n_bytes, n_removed and removed array<struct<
-    start, length>>, the maximal removed runs in bytes of the original."""
-    rows, runs = repeated_bytes(df, text, length)
+def suffix_dedup(df: DataFrame, text: str = "text", length: int = 200) -> DataFrame:
+    """df, without its text, with kept binary (the remaining bytes), n_bytes, n_removed and removed array<struct<start, length>>, the maximal
+    removed runs in bytes of the original."""
+    new = ("kept", "n_bytes", "n_removed", "removed")
+    keep = [c for c in df.columns if c.lower() not in new]
+    body, number = unused(df, "__text"), unused(df, "__row")
+    table = numbered(df.select(*[quoted(c) for c in keep], F.encode(F.coalesce(F.col(quoted(text)), F.lit("")), "UTF-8").alias(body)).drop(*[c for c in keep if c == text]), number)
+    runs = repeated_bytes(table.select(F.col(body).alias("text"), F.col(number).alias("row")), length)
     spans = runs.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    ids = numbered(df.select(F.col(id), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text")), "row")
-    kind = df.schema[id].dataType.simpleString()
+    rest = [c for c in keep if c != text]
+    joined = table.alias("t").join(spans.alias("s"), F.col(f"t.{number}") == F.col("s.row"), "left")
+    joined = joined.select(*[F.col(f"t.{quoted(c)}") for c in [*rest, body]], F.col("s.spans"))
+    out = T.StructType([f for f in df.schema.fields if f.name in rest] + T._parse_datatype_string("kept binary, n_bytes long, n_removed long, removed array<struct<start:long,length:long>>").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         removed_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-        for batch in B.pieces(batches, "text", 2 << 20):
+        for batch in B.pieces(batches, body, 2 << 20):
             kept, gone, found = [], [], []
-            for raw, spans in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.schema.get_field_index("spans"))):
+            for raw, spans in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1)):
                 runs = []
                 if spans.is_valid:
                     flat = spans.values
@@ -276,7 +311,6 @@ def suffix_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", length:
                 gone.append(len(raw) - len(kept[-1]))
                 found.append(runs)
             size = pa.array([a + len(b) for a, b in zip(gone, kept)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(id)), pa.array(kept, pa.binary()), size, pa.array(gone, pa.int64()), pa.array(found, removed_type)], names=[id, "kept", "n_bytes", "n_removed", "removed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(kept, pa.binary()), size, pa.array(gone, pa.int64()), pa.array(found, removed_type)], names=out.names)
 
-    joined = ids.join(spans, "row", "left").select(id, "text", "spans")
-    return joined.mapInArrow(run, f"{id} {kind}, kept binary, n_bytes long, n_removed long, removed array<struct<start:long,length:long>>")
+    return map_in_arrow(joined, run, out)

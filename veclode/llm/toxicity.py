@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytesops as B
-from .store import written
+from .store import map_in_arrow, quoted, written
 
 #: Words of the second person.
 SECOND_PERSON = (
@@ -177,7 +177,7 @@ def with_features(df: DataFrame, words: np.ndarray, weights: np.ndarray, text: s
             made = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "__features"])
 
-    return df.mapInArrow(run, schema)
+    return map_in_arrow(df, run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", most_labels: int = 20000, most_words: int = 4000, min_support: int = 3, trees: int = 20, depth: int = 3, calibration_fold: int = 1) -> Model:
@@ -227,5 +227,5 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             rows = model.curve.copy().setFeaturesCol("__p1").setPredictionCol("__curve").transform(rows)
             value = 0.98 * F.col("__curve") + 0.02 * F.col("__p1")  # the curve has steps; the trees order the rows within one
         value = F.when(F.col("__wordless"), F.least(value, F.lit(float(model.rate)))).otherwise(value)
-        out = rows.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))).select(*kept.columns, "score")
+        out = rows.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))).select(*map(quoted, kept.columns), "score")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
