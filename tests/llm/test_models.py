@@ -128,6 +128,39 @@ def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER)), "\n"]
 
 
+def test_recall_of_edited_copies(spark, sf):
+    """Of edited copies that reach the score at all, at least nine in ten are found; figures for each kind of edit."""
+    rng = np.random.default_rng(1)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    edits = {
+        "every third word replaced": lambda x: [w if i % 3 else f"zz{i}" for i, w in enumerate(x)],
+        "every fifth word replaced": lambda x: [w if i % 5 else f"zz{i}" for i, w in enumerate(x)],
+        "a word inserted after every third": lambda x: [z for i, w in enumerate(x) for z in ((w, f"qq{i}") if i % 3 == 2 else (w,))],
+        "neighbours exchanged": lambda x: [x[i + 1] if i % 5 == 0 and i + 1 < len(x) else x[i - 1] if i % 5 == 1 else w for i, w in enumerate(x)],
+        "six tenths of it": lambda x: x[: -(-len(x) * 6 // 10)],
+        "a third of the words replaced at random": lambda x: [w if rng.random() > 0.3 else f"zz{i}" for i, w in enumerate(x)],
+    }
+    for kind, edit in edits.items():
+        docs = [(i, "lead words " + " ".join(edit(t.split())) + " tail") for i, t in items]
+        reach = {i for (i, t), (_, d) in zip(items, docs) if slow_score(re.findall(r"\w+", t.lower()), re.findall(r"\w+", d.lower())) >= len(re.findall(r"\w+", t))}
+        out = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+        found = {r.doc_id for r in out.collect() if r.doc_id in {m.item_id for m in r.matches}}
+        assert len(found & reach) >= 0.9 * len(reach), kind
+
+
+def test_decontamination_query(spark, sf):
+    """op5 against plain alignment of every document with every item."""
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    docs = {r.doc_id: words(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = {(i, k): slow_score(x, own) for i, own in docs.items() for k, x in items.items() if 2 * sum(w in own for w in x) >= len(x)}
+    want = {(i, k): best / (2 * len(items[k])) for (i, k), best in want.items() if best >= len(items[k])}
+    got: dict = {}
+    for r in queries.op5_benchmark_decontamination(spark, sf).collect():
+        got[r.doc_id, r.item_id] = max(got.get((r.doc_id, r.item_id), 0), r.score)
+    assert got == want and want
+
+
 def test_base_score_against_brute_force(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     counts = Counter(w for i, t in docs.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in tokens(t))

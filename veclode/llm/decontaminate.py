@@ -1,9 +1,10 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The test items' word n-grams are seeds. Each occurrence of a seed in a training text, however common the
+The test items' word bigrams are seeds. Each occurrence of a seed in a training text, however common the
 seed is, opens a window in which the item could stand around it; windows that overlap make a region. A
-region is dropped only if no alignment in it can reach min_score, as too few of its words are words of the
-item. With the others the item is aligned by Smith-Waterman over words (match 2, mismatch -1, gap -1), and
+region is dropped if it holds one seed only (of an item of SHORT words or more: an alignment that reaches half of an
+exact copy's score has at least two, but for copies with words inserted everywhere), or if no alignment in it can
+reach min_score, as too few of its words are words of the item. With the others the item is aligned by Smith-Waterman over words (match 2, mismatch -1, gap -1), and
 alignments whose score is at least min_score of an exact copy's are reported. What is found in a text
 depends on no other text, so one pass is enough and no text is shuffled. Items are broadcast in blocks of
 at most `most_seeds` n-grams, one step of that pass for each block.
@@ -32,6 +33,8 @@ from .toxicity import lower
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _MULTIPLY = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Items of fewer words are aligned wherever one seed stands, longer ones where two do.
+SHORT = 9
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +118,7 @@ def _shares(sizes: np.ndarray, most: int = 1 << 18) -> list[tuple[int, int]]:
 
 
 def _windows(items: Items, first: np.ndarray, here: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """Text, item, start and end of the windows of seeds that stand at here, in order."""
+    """Text, item, start, end and number of seeds of the windows of seeds that stand at here."""
     # Every occurrence of each seed in the items.
     times = items.begin[seed + 1] - items.begin[seed]
     where = items.at[np.repeat(items.begin[seed], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
@@ -126,7 +129,10 @@ def _windows(items: Items, first: np.ndarray, here: np.ndarray, seed: np.ndarray
     slack = length // 2 + 4
     start = np.maximum(position - (where - items.first[item]) - slack, first[doc])
     end = np.minimum(position - (where - items.first[item]) + length + slack, first[doc + 1])
-    return np.unique(np.stack([doc, item, start, end]), axis=1)
+    order = np.lexsort((end, start, item, doc))
+    rows = np.stack([doc, item, start, end])[:, order]
+    new = np.flatnonzero(np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)))
+    return np.concatenate([rows[:, new], np.diff(np.append(new, len(order)))[None]])
 
 
 def _match(items: Items, word: np.ndarray, first: np.ndarray, min_score: float) -> dict[int, list[dict]]:
@@ -136,11 +142,16 @@ def _match(items: Items, word: np.ndarray, first: np.ndarray, min_score: float)
     found: dict[int, list[dict]] = {}
     if not len(hit):
         return found
-    windows = [_windows(items, first, here[hit[a:b]], seed[a:b]) for a, b in _shares(items.begin[seed + 1] - items.begin[seed])]
-    doc, item, start, end = np.unique(np.concatenate(windows, axis=1), axis=1)
+    windows = np.concatenate([_windows(items, first, here[hit[a:b]], seed[a:b]) for a, b in _shares(items.begin[seed + 1] - items.begin[seed])], axis=1)
+    doc, item, start, end, hits = windows[:, np.lexsort((windows[3], windows[2], windows[1], windows[0]))]
     # Both ends of an item's windows grow together, so a window that overlaps another overlaps the one before it.
     new = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(item) != 0) | (start[1:] > end[:-1])))
+    hits = np.add.reduceat(hits, new)
     doc, item, start, end = doc[new], item[new], start[new], end[np.append(new[1:], len(end)) - 1]
+    on = np.flatnonzero(hits >= np.where(items.first[item + 1] - items.first[item] < SHORT, 1, 2))
+    doc, item, start, end = doc[on], item[on], start[on], end[on]
+    if not len(doc):
+        return found
     bound = np.concatenate([items.most(word, item[a:b], start[a:b], end[a:b]) for a, b in _shares(end - start)])
     keep = bound >= min_score * 2 * (items.first[item + 1] - items.first[item])
     regions = zip(doc[keep].tolist(), item[keep].tolist(), start[keep].tolist(), end[keep].tolist())
@@ -154,7 +165,7 @@ def _match(items: Items, word: np.ndarray, first: np.ndarray, min_score: float)
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, min_score: float = 0.5, most_seeds: int = 1_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 2, min_score: float = 0.5, most_seeds: int = 1_000_000) -> DataFrame:
     """docs with matches: array<struct<item_id, score (share of an exact copy's), start, length (in words)>>."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(item_text), F.lit(""))
