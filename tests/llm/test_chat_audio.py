@@ -92,3 +92,28 @@ def test_audio_rows(spark):
     assert audio.encode_media(df.where("false")).collect() == []
     bad = spark.createDataFrame([(bytearray(b"RIFFxxxxWAVE"),), (bytearray(b"no"),), (None,)], "media binary")
     assert [(r.payload, r.feature) for r in audio.decode_media(bad).collect()] == [(None, None)] * 3
+
+
+def test_rates_channels_and_cut_files():
+    """Rate and channel count are read; what no mono 16 kHz PCM can be made of gives nothing."""
+    import struct
+
+    import numpy as np
+
+    one = np.arange(0, 250, dtype=np.uint8)
+    plain = audio.wav(audio.MULAW, one.tobytes())
+    stereo = np.repeat(one, 2).tobytes()
+
+    def file(channels, rate, data, tag=audio.MULAW, bits=8):
+        fmt = struct.pack("<HHIIHHH", tag, channels, rate, rate * channels, channels, bits, 0)
+        body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(data)) + data
+        return b"RIFF" + struct.pack("<I", len(body)) + body
+
+    mono, two, fast, cut, zero = audio._decode([plain, file(2, 8000, stereo), file(1, 16000, one.tobytes()), plain[:-5], file(1, 0, one.tobytes())])
+    assert cut is None and zero is None and np.array_equal(mono[2], two[2]) and (mono[3], fast[3]) == (8000, 16000)
+    assert np.array_equal(audio.resample(fast[2], 16000), fast[2])
+    x = audio.resample(mono[2], 8000)
+    assert len(x) == 500 and np.array_equal(x[::2], mono[2]) and x[1] == (int(mono[2][0]) + int(mono[2][1])) >> 1
+    y = audio.resample(mono[2], 11025)
+    at = np.arange(len(y)) * 11025 / 16000
+    assert len(y) == 250 * 16000 // 11025 and np.abs(y - np.interp(at, np.arange(250), mono[2])).max() <= 1

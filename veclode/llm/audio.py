@@ -9,8 +9,9 @@ blocks of a batch), resamples to 16 kHz by linear interpolation and describes th
 it also returns it as a WAV file.
 
 Definitions: a null or empty text has n_bytes 0 and a payload of 576 bytes 255; rows never depend on
-each other; other columns pass through and those named like an output are replaced; bytes that are
-no such WAV file decode to nulls. A file's own length bounds the memory of its row; rows are handled
+each other; other columns pass through and those named like an output are replaced; channels of mu-law and
+A-law files are averaged, and files of any rate from 1 to 192 kHz are resampled; bytes that are no such WAV file
+(ADPCM of several channels and files that are cut short included) decode to nulls. A file's own length bounds the memory of its row; rows are handled
 about 2 MB at a time.
 """
 
@@ -95,25 +96,25 @@ def pcm_wav(samples: np.ndarray, rate: int = TARGET) -> bytes:
 
 
 def chunks(media: bytes | None) -> dict[bytes, bytes]:
-    """The chunks of a RIFF/WAVE file; {} if it is none."""
+    """The chunks of a RIFF/WAVE file; {} if it is none or is cut short."""
     if not media or media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         return {}
     found, at = {}, 12
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
+        if at + 8 + size > len(media):
+            return {}
         found[name] = media[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
     return found
 
 
-def resample(pcm: np.ndarray) -> np.ndarray:
-    """Twice the rate: each sample and the mean of it and the next (the last is held)."""
-    out = np.empty(2 * len(pcm), np.int16)
-    out[::2] = pcm
-    wide = pcm.astype(np.int32)
-    out[1:-1:2] = wide[:-1] + wide[1:] >> 1
-    out[-1] = pcm[-1]
-    return out
+def resample(pcm: np.ndarray, rate: int = RATE) -> np.ndarray:
+    """The samples at TARGET, by linear interpolation between neighbours (the last one is held)."""
+    place = np.arange(len(pcm) * TARGET // rate) * rate
+    at, part = place // TARGET, place % TARGET
+    wide = pcm.astype(np.int64)
+    return ((wide[at] * (TARGET - part) + wide[np.minimum(at + 1, len(pcm) - 1)] * part) // TARGET).astype(np.int16)
 
 
 def describe(pcm: np.ndarray, tag: int) -> str:
@@ -151,26 +152,31 @@ def encode_media(df: DataFrame, text: str = "text", codec: str = "mixed") -> Dat
     return map_in_arrow(df, run, schema)
 
 
-def _decode(files: list[bytes | None]) -> list[tuple[bytes, int, np.ndarray] | None]:
-    """(payload, format, PCM at 8 kHz) of each file; the ADPCM blocks of all files of a size are decoded together."""
+def _decode(files: list[bytes | None]) -> list[tuple[bytes, int, np.ndarray, int] | None]:
+    """(payload, format, mono PCM, rate) of each file; the ADPCM blocks of all files of a size are decoded together."""
     out: list = [None] * len(files)
-    blocks: dict[int, list[tuple[int, np.ndarray]]] = {}
+    blocks: dict[int, list[tuple[int, np.ndarray, int]]] = {}
     for i, media in enumerate(files):
         found = chunks(media)
         fmt, data = found.get(b"fmt ", b""), found.get(b"data", b"")
         if len(fmt) < 16 or not data:
             continue
-        tag, align = struct.unpack_from("<H", fmt)[0], struct.unpack_from("<H", fmt, 12)[0]
+        tag, channels, rate, _, align, bits = struct.unpack_from("<HHIIHH", fmt)
         samples = np.frombuffer(data, np.uint8)
-        if tag in (MULAW, ALAW):
-            out[i] = (data, tag, (MULAW_PCM if tag == MULAW else ALAW_PCM)[samples])
-        elif tag == ADPCM and align > 4 and len(data) % align == 0:
-            blocks.setdefault(align, []).append((i, samples.reshape(-1, align)))
+        if not 1000 <= rate <= 192_000:
+            continue
+        if tag in (MULAW, ALAW) and bits == 8 and channels and len(data) % channels == 0:
+            pcm = (MULAW_PCM if tag == MULAW else ALAW_PCM)[samples]
+            if channels > 1:
+                pcm = (pcm.reshape(-1, channels).sum(axis=1, dtype=np.int64) // channels).astype(np.int16)
+            out[i] = (data, tag, pcm, rate)
+        elif tag == ADPCM and bits == 4 and channels == 1 and align > 4 and len(data) % align == 0:
+            blocks.setdefault(align, []).append((i, samples.reshape(-1, align), rate))
     for group in blocks.values():
-        pcm = adpcm_pcm(np.concatenate([b for _, b in group]))
+        pcm = adpcm_pcm(np.concatenate([b for _, b, _ in group]))
         at = 0
-        for i, b in group:
-            out[i] = (b[:, 4:].tobytes(), ADPCM, pcm[at : at + len(b)].ravel())
+        for i, b, rate in group:
+            out[i] = (b[:, 4:].tobytes(), ADPCM, pcm[at : at + len(b)].ravel(), rate)
             at += len(b)
     return out
 
@@ -182,7 +188,7 @@ def decode_media(df: DataFrame, media: str = "media", pcm: bool = False) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.pieces(batches, media, 2 << 20):
             found = _decode(batch.column(batch.schema.get_field_index(media)).to_pylist())
-            sound = [resample(x[2]) if x else None for x in found]
+            sound = [resample(x[2], x[3]) if x else None for x in found]
             arrays = [pa.array([x[0] if x else None for x in found], pa.binary()), pa.array([describe(s, x[1]) if x else None for x, s in zip(found, sound)], pa.string())]
             if pcm:
                 arrays.append(pa.array([pcm_wav(s) if x else None for x, s in zip(found, sound)], pa.binary()))

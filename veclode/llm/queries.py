@@ -48,7 +48,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = audio.encode_media(docs).select("doc_id", "n_bytes", "media")
-    return audio.decode_media(stored).select(
+    return audio.decode_media(stored, pcm=True).select(
         "doc_id",
         "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
@@ -57,6 +57,8 @@ def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        F.octet_length("pcm").cast("long").alias("pcm_bytes"),
+        F.sha2("pcm", 256).alias("pcm_sha256"),
     )
 
 
