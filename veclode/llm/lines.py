@@ -175,7 +175,8 @@ def _name() -> F.Column:
 def _named(pairs: DataFrame, *more: str) -> DataFrame:
     """pairs with class: the earliest position whose class and next (and more) are equal."""
     by = ["class", "next", *more]
-    first = pairs.groupBy(*by).agg(F.min(_name()).alias("first"))
+    # Written first, the names are an input of their own and a common pair's rows can be split in the join.
+    first = written(pairs.groupBy(*by).agg(F.min(_name()).alias("first")))
     return pairs.join(first, by).drop(*[c for c in by if c not in more]).withColumnRenamed("first", "class")
 
 
