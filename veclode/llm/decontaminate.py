@@ -10,7 +10,7 @@ depends on no other text, so one pass is enough and no text is shuffled. Items a
 at most `most_seeds` n-grams, one step of that pass for each block.
 
 Definitions: words are runs of ASCII letters, digits and bytes from 128, in lower case; punctuation and
-white space don't count. Null and empty texts match nothing, and so do items of fewer than n words;
+white space don't count. Null and empty texts match nothing, and so do items of fewer than LEAST or n words;
 identical items each report; an item id that is null is kept as null; repeated rows are all reported; an
 empty table on either side gives no matches. Other columns pass through and `matches` replaces a column
 of that name.
@@ -35,6 +35,8 @@ _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Fa
 _MULTIPLY = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Items of fewer words are aligned wherever one seed stands, longer ones where two do.
 SHORT = 9
+#: Items of fewer words match nothing.
+LEAST = 3
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +79,8 @@ class Items:
         self.ids, self.n = ids, n
         self.word, self.first = word_hashes(data, at)
         here, hashes = ngrams(self.word, self.first, n)
+        enough = np.diff(self.first)[np.searchsorted(self.first, here, "right") - 1] >= LEAST
+        here, hashes = here[enough], hashes[enough]
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.at = hashes[order], here[order]
         self.seeds, self.begin = np.unique(self.hashes, return_index=True)
